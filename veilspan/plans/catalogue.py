@@ -1,4 +1,659 @@
-"""All queries of the library, by name, and their SQL."""
+"""All queries of the library, by name, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import entities as E
+from ..functions import geometry as G
+from ..functions import predicates as P
+from ..functions import text as T
+from ..functions import vocabulary as V
+from ..operators import cascade, merge, page, reading, rules
+from ..sources import spans as S
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# ---- SQL for the derived tables ----------------------------------------------------------------------------------
+
+_LINES = """l0 AS (SELECT {key} AS page_id, string_split({text}, chr(10)) AS parts FROM {table}),
+l1 AS (SELECT page_id, unnest(parts) AS text, unnest(range(len(parts)))::INT AS pos FROM l0),
+lines AS (SELECT page_id, pos, text, 40 AS l, 40 + 32 * pos AS t, 40 + 9 * length(text) AS r, 62 + 32 * pos AS b FROM l1 WHERE regexp_matches(text, '[^\\s]'))"""
+DOC_LINES = _LINES.format(key="doc_id", text="text", table="documents")
+HTML_LINES = _LINES.format(key="page_id", text="html", table="pages")
+
+
+def _pad(x: str, n: int) -> str:
+    return f"lpad((({x}) % {10**n})::VARCHAR, {n}, '0')"
+
+
+_FIELDS = [
+    ("Account Holder", "c_name"), ("Customer ID", "k::VARCHAR"), ("Branch", "n_name"), ("Closing Balance", "'Rs ' || c_acctbal::DECIMAL(18,2)::VARCHAR"),
+    ("PAN", f"'ABCDE' || {_pad('k', 4)} || 'F'"), ("IFSC", f"'HDFC0' || {_pad('k', 6)}"), ("Mobile", f"'+91 98765 ' || {_pad('k', 5)}"),
+    ("Date of Birth", f"{_pad('k % 28 + 1', 2)} || '/' || {_pad('k % 12 + 1', 2)} || '/' || (1950 + k % 50)::VARCHAR"), ("Email ID", "'user' || k || '@mail.example.com'"),
+    ("UPI", "'user' || k || '@okbank'"), ("Account No", f"'A/c no ' || {_pad('k', 12)}"), ("Aadhaar", f"'2345 6789 ' || {_pad('k', 4)}"), ("Passport", f"'K' || {_pad('k', 7)}"),
+    ("Card Number", f"'XXXX XXXX XXXX ' || {_pad('k', 4)}"), ("Type", "c_mktsegment"), ("Remarks", f"'Rs 5 call ' || {_pad('k * 7919', 7)}"),
+]
+_ROWS = " UNION ALL ".join(
+    ["SELECT k AS page_id, 0 AS pos, 'First National Bank Statement' AS text, 60 AS l, 80 AS t, 1 AS row_no, 1 AS span_id FROM f0"]
+    + [f"SELECT k, {2 * i + 1}, {v}, 520, {205 + 62 * i}, {i + 2}, {2 * i + 3} FROM f0 UNION ALL SELECT k, {2 * i + 2}, '{c}', 60, {200 + 62 * i}, {i + 2}, {2 * i + 2} FROM f0" for i, (c, v) in enumerate(_FIELDS)])
+FORMS = f"f0 AS (SELECT c_custkey::BIGINT AS k, * FROM customer JOIN nation ON c_nationkey = n_nationkey), f1 AS ({_ROWS}), forms AS (SELECT *, l + 9 * length(text) AS r, t + 22 AS b FROM f1)"
+_LETTER = ["'Some heading of the letter 7'", "s_name", "'Asha Verma'", f"'PO: ' || {_pad('k', 3)}", "'plot ' || k::VARCHAR", "CASE WHEN k % 3 = 0 THEN 'Notes: none' ELSE 'State: Kerala' END", "'Status: paid'", "'Remarks follow here'"]
+LETTERS = "a0 AS (SELECT s_suppkey::BIGINT AS k, * FROM supplier), letters AS (" + " UNION ALL ".join(
+    f"SELECT k AS page_id, {i} AS pos, {v} AS text, {i + 1} AS span_id FROM a0" for i, v in enumerate(_LETTER)) + ")"
+
+
+# ---- spans in order ----------------------------------------------------------------------------------------------
+
+
+def ordered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_order(S.document_spans(spark, sf_dir))
+
+
+def ordered_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_order(S.form_spans(spark, sf_dir))
+
+
+def ordered_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_order(S.address_spans(spark, sf_dir))
+
+
+def form_sizes(spans: DataFrame) -> DataFrame:
+    return S.page_sizes(spans)
+
+
+def analysed(spans: DataFrame) -> DataFrame:
+    """Ordered lines with neighbours, promoted hints, roles and rule decisions."""
+    sizes = S.page_sizes(spans)
+    rows = reading.with_neighbours(E.with_hints(spans))
+    rows = rows.withColumn("hints", E.promoted(F.col("hints"), F.col("prev_text"), F.col("text")))
+    return rules.decide(reading.with_roles(rows, sizes), sizes)
+
+
+def _mod(n: int, *cols: str):
+    """Arithmetic on keys that both engines do alike."""
+    out = F.lit(0)
+    for k, c in enumerate(cols):
+        out = out + F.col(c) * F.lit((7, 13, 5)[k])
+    return F.pmod(out, F.lit(n))
+
+
+# ---- identifiers -------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {DOC_LINES}, m AS (SELECT page_id, pos, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{{2,}}'))) AS e FROM lines)
+SELECT page_id AS doc_id, count(*)::BIGINT AS n_hits, count(DISTINCT e)::BIGINT AS n_emails, min(e) AS first_email FROM m GROUP BY 1""")
+def email_hits_per_doc(spark, sf_dir):
+    hits = E.hint_rows(E.with_hints(S.document_spans(spark, sf_dir)), "page_id", "pos").where("kind = 'EMAIL'")
+    return hits.groupBy(F.col("page_id").alias("doc_id")).agg(F.count("*").alias("n_hits"), F.count_distinct("matched").alias("n_emails"), F.min("matched").alias("first_email"))
+
+
+def _hits(spans: DataFrame, kind: str) -> DataFrame:
+    return E.hint_rows(E.with_hints(spans), "page_id", "pos").where(F.col("kind") == kind).select("page_id", "pos", "matched", "strong")
+
+
+@query(f"""WITH {DOC_LINES}, m AS (SELECT page_id, pos, unnest(list_distinct(regexp_extract_all(text, '\\b(?:\\d[ \\-]?){{12,18}}\\d\\b'))) AS matched FROM lines),
+d AS (SELECT *, regexp_replace(matched, '[^0-9]', '', 'g') AS x FROM m),
+s AS (SELECT page_id, pos, matched, list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN (length(x) - i) % 2 = 0 THEN x[i]::INT
+  ELSE 2 * x[i]::INT - CASE WHEN 2 * x[i]::INT > 9 THEN 9 ELSE 0 END END)) AS total FROM d)
+SELECT page_id, pos, matched, total % 10 = 0 AS strong FROM s""")
+def card_hits_luhn(spark, sf_dir):
+    return _hits(S.document_spans(spark, sf_dir), "CARD")
+
+
+@query(f"""WITH {DOC_LINES}, m AS (SELECT page_id, pos, unnest(list_distinct(regexp_extract_all(text, '[0-9.]+'))) AS matched FROM lines)
+SELECT page_id, pos, matched, true AS strong FROM m WHERE regexp_full_match(matched, '(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\\.){{3}}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])')""")
+def ip_hits(spark, sf_dir):
+    return _hits(S.document_spans(spark, sf_dir), "IP")
+
+
+@query(f"""WITH {HTML_LINES} SELECT page_id, pos, unnest(list_distinct(regexp_extract_all(text, '(?i)\\b(?:https?://|www\\.)[^\\s,;]{{4,}}'))) AS matched, true AS strong FROM lines""")
+def url_hits(spark, sf_dir):
+    return _hits(S.page_spans(spark, sf_dir), "URL")
+
+
+def _form_query(name: str, kind: str, pattern: str, strong: bool, group: int = 0) -> None:
+    found = f"regexp_extract_all(text, '{pattern}', {group})"
+    ORACLES[name] = f"WITH {FORMS} SELECT page_id, pos, unnest(list_distinct({found})) AS matched, {str(strong).lower()} AS strong FROM forms"
+    QUERIES[name] = lambda spark, sf_dir: _hits(S.form_spans(spark, sf_dir), kind)
+
+
+_form_query("pan_hits", "PAN", r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", True)
+_form_query("ifsc_hits", "IFSC", r"\b[A-Z]{4}0[A-Z0-9]{6}\b", True)
+_form_query("passport_hits", "PASSPORT", r"\b[A-PR-WY][0-9]{7}\b", True)
+_form_query("aadhaar_hits", "AADHAAR", r"\b[2-9][0-9]{3}[ \-]?[0-9]{4}[ \-]?[0-9]{4}\b", True)
+_form_query("date_hits", "DATE", r"\b[0-3]?[0-9]/[0-1]?[0-9]/[0-9]{4}\b", False)
+_form_query("money_hits", "MONEY", r"(?i)(?:₹|rs\.?|inr|usd|\$|€|£)\s?\d[\d,]*(?:\.\d{1,2})?", False)
+_form_query("account_hits", "ACCOUNT", r"A/c no ([0-9]{12})", True, 1)
+_form_query("upi_hits", "UPI", r"\b[A-Za-z0-9][A-Za-z0-9._\-]+@okbank\b", True)
+_form_query("masked_card_hits", "CARD", r"X{4} X{4} X{4} [0-9]{4}", True)
+
+
+@query()
+def phone_hits(spark, sf_dir):
+    return _hits(S.document_spans(spark, sf_dir).unionByName(S.form_spans(spark, sf_dir)), "PHONE")
+
+
+@query()
+def pin_hits(spark, sf_dir):
+    return _hits(S.document_spans(spark, sf_dir).unionByName(S.form_spans(spark, sf_dir)), "PIN")
+
+
+@query()
+def all_hints(spark, sf_dir):
+    return E.hint_rows(E.with_hints(S.document_spans(spark, sf_dir)), "page_id", "pos")
+
+
+@query(f"WITH {FORMS} SELECT page_id, span_id, CASE span_id WHEN 9 THEN 'MONEY' ELSE 'DATE' END AS kind, text AS matched, NOT (span_id = 9 AND contains(text, '-')) AS strong FROM forms WHERE span_id = 17 OR (span_id = 9 AND NOT contains(text, '-'))")
+def hint_promotion(spark, sf_dir):
+    """Amounts beside a balance and dates beside a birth become certain."""
+    rows = reading.with_neighbours(E.with_hints(ordered_forms(spark, sf_dir)))
+    rows = rows.withColumn("hints", E.promoted(F.col("hints"), F.col("prev_text"), F.col("text")))
+    return E.hint_rows(rows, "page_id", "span_id").where("kind IN ('DATE', 'MONEY') AND strong").drop("seq")
+
+
+@query(f"WITH {FORMS} SELECT page_id, count(*) FILTER (WHERE pos IN (9, 11, 13, 15, 17, 19, 21, 23, 25, 27) OR (pos = 7 AND NOT contains(text, '-')) OR pos = 31)::BIGINT AS n_identified FROM forms GROUP BY page_id")
+def lines_with_hints(spark, sf_dir):
+    """How many lines of a form's identifier fields hold a hint."""
+    rows = E.with_hints(S.form_spans(spark, sf_dir)).where(F.col("pos").isin(7, 9, 11, 13, 15, 17, 19, 21, 23, 25, 27, 31))
+    return rows.groupBy("page_id").agg(F.count_if(F.size("hints") > 0).alias("n_identified"))
+
+
+# ---- pages, order, roles -----------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {DOC_LINES}, p AS (SELECT page_id, count(*)::BIGINT AS n_spans, list_sort(list(b - t))[len(list(b - t)) // 2 + 1]::INT AS median_height,
+  sum(length(regexp_replace(text, '\\s', '', 'g')))::BIGINT AS n_chars, greatest(1754, max(t) + 64)::INT AS height FROM lines GROUP BY 1)
+SELECT page_id, n_spans, median_height, n_chars, 1240 AS width, height, round(n_spans / (1240 * height / 1e6), 6) AS density FROM p""")
+def page_span_stats(spark, sf_dir):
+    spans = S.document_spans(spark, sf_dir)
+    return page.page_stats(spans, S.page_sizes(spans))
+
+
+@query(f"WITH {FORMS} SELECT page_id, span_id, row_no, pos, text FROM forms")
+def reading_order(spark, sf_dir):
+    return ordered_forms(spark, sf_dir).select("page_id", "span_id", "row_no", "pos", "text")
+
+
+@query(f"WITH {DOC_LINES} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos)::INT AS span_id, pos FROM lines")
+def document_order(spark, sf_dir):
+    return ordered_documents(spark, sf_dir).select("page_id", "span_id", "pos")
+
+
+@query(f"WITH {FORMS} SELECT DISTINCT page_id, 60 AS label_x, 43 AS tolerance, 49 AS gap FROM forms")
+def label_columns(spark, sf_dir):
+    spans = ordered_forms(spark, sf_dir)
+    return reading.label_columns(spans, S.page_sizes(spans))
+
+
+@query(f"""WITH {FORMS} SELECT v.page_id, v.span_id, v.text, c.text AS label_text FROM forms v JOIN forms c ON c.page_id = v.page_id AND c.row_no = v.row_no AND c.l = 60
+WHERE v.l = 520 AND c.text NOT IN ('UPI', 'Card Number')""")
+def label_value_pairs(spark, sf_dir):
+    spans = E.with_hints(ordered_forms(spark, sf_dir))
+    return reading.with_roles(spans, S.page_sizes(spans)).where("role = 'VALUE'").select("page_id", "span_id", "text", "label_text")
+
+
+@query(f"WITH {DOC_LINES} SELECT count(*)::BIGINT AS n_lines, 0::BIGINT AS n_labels FROM lines")
+def stacked_pages_have_no_labels(spark, sf_dir):
+    spans = E.with_hints(ordered_documents(spark, sf_dir))
+    return reading.with_roles(spans, S.page_sizes(spans)).agg(F.count("*").alias("n_lines"), F.count_if(F.col("role") != "STANDALONE").alias("n_labels"))
+
+
+# ---- captions and fuzzy words ------------------------------------------------------------------------------------
+
+
+def _captions(spark: SparkSession) -> DataFrame:
+    """Captions as readers get them: whole, cut, with a letter changed or a mark behind. ASCII, so that both engines count alike."""
+    words = sorted({w for w in [*V.CAPTIONS, *V.ISSUER_PHRASES, "status", "cost", "games", "portal", "invoice", "hello world"] if w.isascii()})
+    forms = [f for w in words for f in (w, w[:-1], w.replace("a", "o", 1), w.title() + ":", "The " + w)]
+    return spark.createDataFrame([(i, f) for i, f in enumerate(forms)], "id long, text string")
+
+
+def _values(rows: list[str]) -> str:
+    return "[" + ", ".join("'" + r.replace("'", "''") + "'" for r in rows) + "]"
+
+
+def _captions_sql() -> str:
+    words = sorted({w for w in [*V.CAPTIONS, *V.ISSUER_PHRASES, "status", "cost", "games", "portal", "invoice", "hello world"] if w.isascii()})
+    forms = [f for w in words for f in (w, w[:-1], w.replace("a", "o", 1), w.title() + ":", "The " + w)]
+    return f"w AS (SELECT unnest({_values(forms)}) AS text, unnest(range({len(forms)}))::BIGINT AS id)"
+
+
+def _any_sql(stems: list[str]) -> str:
+    """The fuzzy test of labels against ASCII stems."""
+    return f"""len(list_filter({_values([s for s in stems if s.isascii()])}, lambda s: a = s OR (length(a) > length(s) AND contains(a, s) AND (starts_with(a, s) OR ends_with(a, s) OR contains(a, ' ' || s)))
+  OR (abs(length(a) - length(s)) <= 3 AND (levenshtein(a, s) <= greatest(1, least(length(a), length(s)) // 3) OR (length(a) >= 4 AND length(s) >= 4 AND levenshtein(a[1:4], s[1:4]) <= 1))))) > 0"""
+
+
+@query(f"WITH {_captions_sql()}, x AS (SELECT id, text, regexp_replace(lower(text), '^[.,\\-]+|[.,\\-]+$', '', 'g') AS a FROM w) SELECT id, text, {_any_sql(V.SENSITIVE_STEMS)} AS sensitive, {_any_sql(V.ADDRESS_STEMS)} AS is_address FROM x")
+def sensitive_labels_fuzzy(spark, sf_dir):
+    return _captions(spark).select("id", "text", P.is_sensitive_label(F.col("text")).alias("sensitive"), P.is_address_label(F.col("text")).alias("is_address"))
+
+
+@query(f"""WITH {_captions_sql()}, x AS (SELECT id, text, lower(regexp_replace(text, '[.,:\\-]+$', '')) AS a FROM w)
+SELECT id, text, length(a) BETWEEN 4 AND 60 AND regexp_matches(a, '[a-z]') AND (
+  len(list_filter({_values([p for p in V.ISSUER_PHRASES if p.isascii()])}, lambda p: a = p OR (abs(length(a) - length(p)) <= length(p) // 3 + 2 AND levenshtein(a, p) <= greatest(2, length(p) // 5)))) > 0
+  OR (NOT regexp_matches(a, '[0-9]') AND len(string_split(a, ' ')) <= 8 AND list_has_any(list_transform(string_split(a, ' '), lambda w: trim(w, '.,()&-')), {_values(V.INSTITUTION_WORDS)}))) AS is_public FROM x""")
+def public_entities(spark, sf_dir):
+    return _captions(spark).select("id", "text", P.is_public_entity(F.col("text")).alias("is_public"))
+
+
+@query(f"""WITH {FORMS}, x AS (SELECT page_id, span_id, text, trim(regexp_replace(text, '[:\\-]+$', '')) AS c FROM forms)
+SELECT page_id, span_id, text FROM x WHERE length(text) <= 34 AND NOT contains(text, '@') AND regexp_matches(c, '[A-Za-z]') AND lower(c) IN ({_values(V.CAPTIONS)[1:-1]})""")
+def label_lexicon(spark, sf_dir):
+    return ordered_forms(spark, sf_dir).where(P.is_caption(F.col("text"))).select("page_id", "span_id", "text")
+
+
+@query(f"""WITH {LETTERS} SELECT page_id, span_id, regexp_extract(text, '^([A-Za-z][A-Za-z ./''\\-]{{0,28}}?)\\s*:\\s*(.+)$', 1) AS label, regexp_extract(text, '^([A-Za-z][A-Za-z ./''\\-]{{0,28}}?)\\s*:\\s*(.+)$', 2) AS value
+FROM letters WHERE regexp_matches(text, '^([A-Za-z][A-Za-z ./''\\-]{{0,28}}?)\\s*:\\s*(.+)$')""")
+def inline_fields(spark, sf_dir):
+    rows = ordered_letters(spark, sf_dir).withColumn("f", P.inline_field(F.col("text"))).where("f IS NOT NULL")
+    return rows.select("page_id", "span_id", "f.label", "f.value")
+
+
+@query(f"""WITH {LETTERS} SELECT page_id, span_id, text FROM letters WHERE length(text) BETWEEN 3 AND 40 AND NOT regexp_matches(text, '[0-9:]') AND len(string_split(text, ' ')) <= 4
+AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= length(text) // 2""")
+def name_like(spark, sf_dir):
+    return ordered_letters(spark, sf_dir).where(P.is_name_like(F.col("text"))).select("page_id", "span_id", "text")
+
+
+@query(f"WITH {LETTERS} SELECT page_id, span_id FROM letters WHERE span_id BETWEEN 3 AND 7 AND (page_id % 3 <> 0 OR span_id < 8)")
+def address_blocks(spark, sf_dir):
+    """"Status" is nearly "state", so the block of every letter reaches down to it."""
+    return rules.with_address_block(ordered_letters(spark, sf_dir)).where("in_address").select("page_id", "span_id")
+
+
+# ---- decisions ---------------------------------------------------------------------------------------------------
+
+#: Of each form line what the rules must say: (span_id, action, source, reason), reason with the line's own text as {t}.
+_EXPECTED = [
+    (1, "KEEP", "DETERMINISTIC", "document header"),
+    *[(2 * i + 2, "KEEP", "LAYOUT", "field label") for i, (c, _) in enumerate(_FIELDS) if c not in ("UPI", "Card Number")],
+    (3, "HIDE", "DETERMINISTIC", "value of 'Account Holder'"), (5, "HIDE", "DETERMINISTIC", "value of 'Customer ID'"), (11, "HIDE", "DETERMINISTIC", "regex: pan"),
+    (13, "HIDE", "DETERMINISTIC", "regex: ifsc"), (17, "HIDE", "DETERMINISTIC", "regex: date"), (19, "HIDE", "DETERMINISTIC", "regex: email"),
+    (21, "HIDE", "DETERMINISTIC", "regex: upi-id"), (23, "HIDE", "DETERMINISTIC", "regex: account-no"), (25, "HIDE", "DETERMINISTIC", "regex: aadhaar"),
+    (27, "HIDE", "DETERMINISTIC", "regex: passport"), (29, "HIDE", "DETERMINISTIC", "regex: card"),
+]
+_DET = ", ".join(f"({i}, '{a}', '{s}', '{r.replace(chr(39), chr(39) * 2)}')" for i, a, s, r in _EXPECTED)
+
+
+@query(f"""WITH {FORMS}, x AS (SELECT * FROM (VALUES {_DET}) v(span_id, action, source, reason))
+SELECT f.page_id, f.span_id, x.action, x.source, x.reason FROM forms f JOIN x USING (span_id)""")
+def det_decisions(spark, sf_dir):
+    """Lines whose outcome doesn't depend on the customer."""
+    rows = analysed(ordered_forms(spark, sf_dir)).where(F.col("det").isNotNull() & F.col("span_id").isin([i for i, *_ in _EXPECTED]))
+    return rows.select("page_id", "span_id", "det.action", "det.source", "det.reason")
+
+
+@query()
+def form_decisions(spark, sf_dir):
+    return analysed(ordered_forms(spark, sf_dir)).select("page_id", "span_id", "role", "label_text", "det.action", "det.source", "det.reason")
+
+
+@query()
+def document_decisions(spark, sf_dir):
+    rows = analysed(ordered_documents(spark, sf_dir)).where("det IS NOT NULL")
+    return rows.select("page_id", "span_id", "det.action", "det.source", "det.reason")
+
+
+@query()
+def gate_verdicts(spark, sf_dir):
+    rows = reading.with_neighbours(E.with_hints(ordered_letters(spark, sf_dir))).withColumn("role", F.lit("STANDALONE"))
+    return rules.gate(rows).select("page_id", "span_id", "text", "verdict.gate", "verdict.action", "verdict.confidence", "verdict.reason")
+
+
+@query()
+def llm_queue(spark, sf_dir):
+    return rules.open_lines(analysed(ordered_forms(spark, sf_dir))).select("page_id", "span_id", "text")
+
+
+# ---- batches, prompts, replies -----------------------------------------------------------------------------------
+
+
+@query(f"WITH {DOC_LINES}, o AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS n FROM lines) SELECT page_id, (n + 1)::INT AS span_id, (n // 10)::INT AS batch_no, (n % 10 + 1)::INT AS local_id FROM o")
+def batches(spark, sf_dir):
+    return cascade.batched(ordered_documents(spark, sf_dir)).select("page_id", "span_id", "batch_no", "local_id")
+
+
+_CLIP = "CASE WHEN length(text) <= 64 THEN text ELSE text[1:63] || '…' END"
+
+
+@query(f"""WITH {LETTERS} SELECT page_id, 0 AS batch_no, count(*)::BIGINT AS n, 'Lines:' || chr(10) || string_agg(span_id::VARCHAR || ': ' || {_CLIP} || chr(10), '' ORDER BY span_id)
+  || chr(10) || 'JSON for ids 1-' || count(*)::VARCHAR || ' /no_think' AS prompt FROM letters GROUP BY page_id""")
+def workhorse_prompts(spark, sf_dir):
+    return cascade.workhorse_prompts(cascade.batched(reading.with_neighbours(ordered_letters(spark, sf_dir))))
+
+
+@query(f"""WITH {LETTERS}, q AS (SELECT *, span_id - 1 - 4 AS n, lag(text) OVER (PARTITION BY page_id ORDER BY span_id) AS p FROM letters), b AS (SELECT * FROM q WHERE span_id >= 5)
+SELECT page_id, 0 AS batch_no, count(*)::BIGINT AS n, 'above: ' || min(p) FILTER (WHERE span_id = 5) || chr(10) || 'Lines:' || chr(10)
+  || string_agg(chr((65 + n)::INT) || ': ' || {_CLIP} || chr(10), '' ORDER BY span_id) || chr(10) || 'Letters to hide (or none):' AS prompt FROM b GROUP BY page_id""")
+def letter_prompts(spark, sf_dir):
+    """The queue starts at the fifth line; the line above it is the page's."""
+    queue = reading.with_neighbours(ordered_letters(spark, sf_dir)).where("span_id >= 5")
+    return cascade.workhorse_prompts(cascade.batched(queue), letters=True)
+
+
+@query()
+def referee_prompts(spark, sf_dir):
+    rows = analysed(ordered_forms(spark, sf_dir)).where("role <> 'LABEL'")
+    return cascade.referee_prompts(cascade.batched(rows, cascade.REFEREE_BATCH))
+
+
+@query(f"""WITH {DOC_LINES}, o AS (SELECT page_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, row_number() OVER (PARTITION BY page_id ORDER BY length(text) DESC, pos) AS nth FROM lines WHERE length(text) > 3)
+SELECT page_id, 'Text:' || chr(10) || string_agg({_CLIP}, chr(10) ORDER BY nth) || chr(10) || chr(10) || 'Document type:' AS prompt FROM o WHERE nth <= 10 GROUP BY page_id""")
+def summary_prompt(spark, sf_dir):
+    return cascade.summary_prompts(ordered_documents(spark, sf_dir))
+
+
+_JSON_REPLIES = [
+    '{"decisions":[{"id":1,"a":"hide"},{"id":2,"a":"keep","reason":"a label"},{"id":99,"a":"hide"}]}',
+    '<think>{"id":1,"a":"keep"}</think>```json\n[{"id":"1","action":"Redact"},{"id":1,"action":"show"},{"id":3,"label":"maybe","why":"line\\nbreak"},{"id":2,"a"',
+    "no decision here", '[{"id":2,"a":"none"},{"id":2,"a":"unsure"},{"id":2,"a":"unknown","reason":"later"},{"id":3,"a":"dance"}]',
+]
+_JSON_WANT = [(0, 1, "HIDE", None), (0, 2, "KEEP", "a label"), (1, 1, "HIDE", None), (1, 3, "UNSURE", "line break"), (3, 2, "UNSURE", None)]
+
+
+def _replies(spark, sf_dir, replies):
+    """One page a region, each with all replies as batches of three lines."""
+    pages = S.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"))
+    rows = pages.select("page_id", F.posexplode(F.array(*[F.lit(r) for r in replies])).alias("batch_no", "reply"))
+    return rows, rows.select("page_id", "batch_no", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("local_id"))
+
+
+def _golden(rows) -> str:
+    text = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    values = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+    return f"SELECT n_nationkey::BIGINT AS page_id, batch_no, local_id, action, reason FROM nation, (VALUES {values}) v(batch_no, local_id, action, reason)"
+
+
+@query(_golden(_JSON_WANT))
+def parsed_json_replies(spark, sf_dir):
+    return cascade.parse_json_replies(*_replies(spark, sf_dir, _JSON_REPLIES))
+
+
+_LISTS = ["A C", "<think>A B C</think> none", "1 2 3", "Hide: I think\nB", "A: because\n\nZ", "", "no lines need hiding", "```text\nC, A and x\n```"]
+_LIST_WANT = [(0, {1, 3}), (1, set()), (3, {2}), (6, set()), (7, {1, 3})]
+
+
+@query(_golden([(b, i, "HIDE" if i in ids else "KEEP", "listed" if i in ids else "not listed") for b, ids in _LIST_WANT for i in (1, 2, 3)]))
+def parsed_hide_lists(spark, sf_dir):
+    return cascade.parse_hide_lists(*_replies(spark, sf_dir, _LISTS))
+
+
+_ANSWERS = "CASE WHEN (7 * page_id + 13 * batch_no) % 3 = 0 THEN 'HIDE' WHEN (7 * page_id + 13 * span_id) % 4 = 0 THEN 'HIDE' ELSE 'KEEP' END"
+
+
+@query(f"""WITH {DOC_LINES}, o AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS span_id FROM lines), b AS (SELECT *, (span_id - 1) // 10 AS batch_no FROM o),
+a AS (SELECT *, {_ANSWERS} AS action FROM b)
+SELECT page_id, batch_no::INT AS batch_no, count(*)::BIGINT AS n, count(*) >= 4 AND (count(DISTINCT action) = 1 OR 10 * count(*) FILTER (WHERE action = 'HIDE') >= 8 * count(*)) AS collapsed FROM a GROUP BY 1, 2""")
+def mode_collapse(spark, sf_dir):
+    rows = cascade.batched(ordered_documents(spark, sf_dir))
+    action = F.when(_mod(3, "page_id", "batch_no") == 0, "HIDE").when(_mod(4, "page_id", "span_id") == 0, "HIDE").otherwise("KEEP")
+    rows = rows.withColumn("action", action).groupBy("page_id", "batch_no").agg(F.count("*").alias("n"), F.count_distinct("action").alias("k"), F.count_if(F.col("action") == "HIDE").alias("h"))
+    return rows.select("page_id", "batch_no", "n", cascade.is_collapsed(F.col("n"), F.col("k"), F.col("h")).alias("collapsed"))
+
+
+@query()
+def settled_batches(spark, sf_dir):
+    """Two attempts a batch; the second answers differ."""
+    rows = cascade.batched(ordered_documents(spark, sf_dir)).select("page_id", "batch_no", "local_id", "span_id")
+    first = rows.select("*", F.lit(1).alias("attempt"), F.when(_mod(2, "page_id", "batch_no") == 0, "HIDE").when(_mod(3, "page_id", "span_id") == 0, "HIDE").otherwise("KEEP").alias("action"))
+    second = rows.select("*", F.lit(2).alias("attempt"), F.when(_mod(5, "page_id", "batch_no") == 0, "KEEP").when(_mod(4, "page_id", "span_id") == 0, "HIDE").otherwise("KEEP").alias("action"))
+    answers = first.unionByName(second).withColumn("reason", F.lit("listed"))
+    held, doubt = cascade.settle_batches(answers, rows)
+    return held.select("page_id", "span_id", "attempt", "action").unionByName(doubt.select("page_id", "span_id", F.lit(0).alias("attempt"), F.lit("DOUBT").alias("action")))
+
+
+_WORK = {0: None, 1: "HIDE", 2: "UNSURE", 3: "KEEP", 4: "HIDE", 5: "KEEP", 6: "KEEP"}
+
+
+def _staged(spark, sf_dir) -> DataFrame:
+    """Form lines with every stage's opinion by arithmetic on their keys."""
+    rows = analysed(ordered_forms(spark, sf_dir))
+    n = _mod(7, "page_id", "span_id")
+    work = F.when(n == 1, "HIDE").when(n == 2, "UNSURE").when(n.isin(3, 5, 6), "KEEP").when(n == 4, "HIDE")
+    referee = F.when(_mod(11, "page_id", "span_id") == 0, "HIDE").when(_mod(11, "page_id", "span_id") == 1, "UNSURE")
+    opinion = lambda a, source: F.when(a.isNotNull(), F.struct(a.alias("action"), F.lit(source).alias("source"), F.lit("by number").alias("reason")))
+    return rows.withColumns({"work": opinion(work, "WORKHORSE"), "referee": opinion(referee, "REFEREE"), "override": F.when(_mod(29, "page_id", "span_id") == 0, "KEEP"),
+                             "degraded": F.col("page_id") % 10 == 0, "doubt": _mod(5, "page_id", "span_id") == 0})
+
+
+@query()
+def referee_queue(spark, sf_dir):
+    return cascade.referee_queue(_staged(spark, sf_dir).withColumn("work", F.col("work.action")))
+
+
+_NUM = "(7 * page_id + 13 * span_id)"
+_LABELS = ", ".join(str(2 * i + 2) for i, (c, _) in enumerate(_FIELDS) if c not in ("UPI", "Card Number"))
+_SETTLED = ", ".join(str(i) for i, a, s, _ in _EXPECTED if s == "DETERMINISTIC")
+_MERGED = f"""m AS (SELECT f.page_id, f.span_id, f.text, f.l, f.t, f.r, f.b, CASE WHEN {_NUM} % 29 = 0 THEN 'KEEP' WHEN span_id IN ({_LABELS}) THEN 'KEEP' WHEN x.action IS NOT NULL THEN x.action END AS action,
+  CASE WHEN {_NUM} % 29 = 0 THEN 'USER' WHEN span_id IN ({_LABELS}) THEN 'LAYOUT' WHEN x.action IS NOT NULL THEN x.source END AS source
+  FROM forms f JOIN (SELECT * FROM (VALUES {_DET}) v(span_id, action, source, reason)) x USING (span_id))"""
+
+
+@query(f"WITH {FORMS}, {_MERGED} SELECT page_id, span_id, action, source FROM m")
+def merged_decisions(spark, sf_dir):
+    """Lines that the user, the layout or the rules settle."""
+    return merge.merge_decisions(_staged(spark, sf_dir)).where(F.col("span_id").isin([i for i, *_ in _EXPECTED])).select("page_id", "span_id", "action", "source")
+
+
+@query()
+def all_decisions(spark, sf_dir):
+    return merge.merge_decisions(_staged(spark, sf_dir)).select("page_id", "span_id", "action", "source", "reason")
+
+
+@query(f"WITH {FORMS}, {_MERGED} SELECT page_id, count(*) FILTER (WHERE action = 'HIDE')::BIGINT AS n_hidden FROM m GROUP BY page_id HAVING count(*) FILTER (WHERE action = 'HIDE') > 0")
+def hidden_spans(spark, sf_dir):
+    rows = merge.hidden(merge.merge_decisions(_staged(spark, sf_dir)).where(F.col("span_id").isin([i for i, *_ in _EXPECTED])))
+    return rows.groupBy("page_id").agg(F.count("*").alias("n_hidden"))
+
+
+@query(f"WITH {FORMS}, {_MERGED} SELECT page_id, span_id, CASE WHEN span_id = 11 THEN CASE WHEN action = 'HIDE' THEN 'KEEP' ELSE 'HIDE' END ELSE action END AS action, CASE WHEN span_id = 11 THEN 'USER' ELSE source END AS source FROM m")
+def toggled_decisions(spark, sf_dir):
+    """Every page's eleventh line is tapped."""
+    merged = merge.merge_decisions(_staged(spark, sf_dir))
+    out = merge.toggled(merged, merged.where("span_id = 11"))
+    return out.where(F.col("span_id").isin([i for i, *_ in _EXPECTED])).select("page_id", "span_id", "action", "source")
+
+
+@query(f"WITH {FORMS}, {_MERGED} SELECT page_id, span_id, CASE WHEN action = 'HIDE' THEN repeat('█', length(text)) ELSE text END AS masked FROM m")
+def masked_text(spark, sf_dir):
+    rows = merge.merge_decisions(_staged(spark, sf_dir)).where(F.col("span_id").isin([i for i, *_ in _EXPECTED]))
+    return rows.select("page_id", "span_id", merge.masked_text(F.col("text"), F.col("action")).alias("masked"))
+
+
+@query(f"""WITH {FORMS}, {_MERGED} SELECT page_id, span_id, greatest(l - 3, 0) AS l, greatest(t - 3, 0) AS t, least(r + 3, 1240) AS r, b + 3 AS b, round(least(10.0, 28 * 0.12::DOUBLE), 4) AS radius FROM m WHERE action = 'HIDE'""")
+def redaction_bars(spark, sf_dir):
+    rows = merge.merge_decisions(_staged(spark, sf_dir)).where(F.col("span_id").isin([i for i, *_ in _EXPECTED]))
+    return merge.bars(rows, S.page_sizes(rows))
+
+
+@query(f"""WITH {FORMS}, taps AS (SELECT DISTINCT page_id, 70 + page_id % 500 AS x, 190 + (page_id * 31) % 900 AS y FROM forms),
+h AS (SELECT taps.page_id, span_id, row_number() OVER (PARTITION BY taps.page_id ORDER BY (r - l) * (b - t), span_id) AS nth FROM taps JOIN forms USING (page_id)
+  WHERE x BETWEEN greatest(l - 12, 0) AND r + 12 AND y BETWEEN greatest(t - 12, 0) AND b + 12)
+SELECT page_id AS tap_id, page_id, span_id FROM h WHERE nth = 1""")
+def hit_test(spark, sf_dir):
+    spans = ordered_forms(spark, sf_dir)
+    taps = spans.select("page_id").distinct().select(F.col("page_id").alias("tap_id"), "page_id", (70 + F.col("page_id") % 500).alias("x"), (190 + F.col("page_id") * 31 % 900).alias("y"))
+    return merge.hit_test(spans, taps, slop=12)
+
+
+# ---- geometry ----------------------------------------------------------------------------------------------------
+
+_ANGLE = "((7 * page_id + 13 * pos) % 9 - 4 + (page_id % 12) * 30)::DOUBLE"
+
+
+def _angled(spark, sf_dir) -> DataFrame:
+    return S.document_spans(spark, sf_dir).withColumn("angle", (_mod(9, "page_id", "pos") - 4 + F.col("page_id") % 12 * 30).cast("double"))
+
+
+@query(f"""WITH {DOC_LINES}, a AS (SELECT page_id, {_ANGLE} AS angle FROM lines),
+d AS (SELECT page_id, angle, CASE WHEN angle % 180 <= -90 THEN angle % 180 + 180 WHEN angle % 180 > 90 THEN angle % 180 - 180 ELSE angle % 180 END AS s,
+  CASE WHEN (angle % 180 + 180) % 180 <= 90 THEN (angle % 180 + 180) % 180 ELSE 180 - (angle % 180 + 180) % 180 END AS h FROM a),
+p AS (SELECT page_id, count(*)::BIGINT AS n, list_sort(list(h))[len(list(h)) // 2 + 1] AS median_abs FROM d GROUP BY 1)
+SELECT page_id, n, round(median_abs, 4) AS median_abs, median_abs >= 8 AS is_skewed FROM p""")
+def skew_metrics(spark, sf_dir):
+    return page.skew(_angled(spark, sf_dir)).select("page_id", "n", "median_abs", "is_skewed")
+
+
+@query()
+def deskew_plan(spark, sf_dir):
+    return page.skew(_angled(spark, sf_dir)).select("page_id", "median_signed", "correction")
+
+
+@query(f"""WITH {DOC_LINES}, p AS (SELECT page_id, count(*)::BIGINT AS n, sum(length(regexp_replace(text, '\\s', '', 'g')))::BIGINT AS had FROM lines GROUP BY 1),
+q AS (SELECT *, had + (page_id * 7) % 9 - 6 AS got, 22 - (page_id % 6) AS high FROM p),
+g AS (SELECT *, 1 - high / 22.0::DOUBLE AS gain FROM q)
+SELECT page_id, had, got, got >= had - greatest(2, trunc(had * (0.02::DOUBLE + 0.08::DOUBLE * least(greatest(gain, 0.0), 1.0)))) AND (got > had OR gain >= 0.15::DOUBLE) AS accepted FROM g""")
+def deskew_accept(spark, sf_dir):
+    rows = page.page_stats(S.document_spans(spark, sf_dir), S.page_sizes(S.document_spans(spark, sf_dir)))
+    rows = rows.select("page_id", F.col("n_chars").alias("had"), (F.col("n_chars") + F.col("page_id") * 7 % 9 - 6).alias("got"), F.lit(22).alias("was"), (22 - F.col("page_id") % 6).alias("high"), "n_spans")
+    return rows.select("page_id", "had", "got", page.accepts_turn(F.col("had"), F.col("got"), F.col("was"), F.col("high"), F.col("n_spans")).alias("accepted"))
+
+
+@query()
+def map_back(spark, sf_dir):
+    spans = ordered_forms(spark, sf_dir)
+    turn = S.page_sizes(spans).select("page_id", G.rotation(F.col("width"), F.col("height"), (F.col("page_id") % 4 * 90).cast("double")).alias("tr"))
+    return page.map_back(spans, turn).select("page_id", "span_id", "l", "t", "r", "b")
+
+
+@query("""SELECT o_orderkey, greatest(1, pow(2, greatest(0, floor(log2(greatest(o_orderkey, 1) / 2048.0)))))::INT AS factor FROM orders""")
+def image_subsample(spark, sf_dir):
+    return S.table(spark, sf_dir, "orders").select("o_orderkey", G.subsample(F.col("o_orderkey")).alias("factor"))
+
+
+@query("""WITH f AS (SELECT p_partkey, p_size, least(1080.0::DOUBLE / (p_size * 40), 1920.0::DOUBLE / (p_size * 25 + 10)) AS s FROM part)
+SELECT p_partkey, round(s, 6) AS scale, trunc((500 - (1080 - p_size * 40 * s) / 2) / s)::INT AS x, trunc((700 - (1920 - (p_size * 25 + 10) * s) / 2) / s)::INT AS y FROM f""")
+def fit_transform(spark, sf_dir):
+    w, h = F.col("p_size") * 40, F.col("p_size") * 25 + 10
+    rows = S.table(spark, sf_dir, "part").withColumn("f", G.fit(F.lit(1080.0), F.lit(1920.0), w, h)).withColumn("p", G.to_image(F.col("f"), F.lit(500), F.lit(700)))
+    return rows.select("p_partkey", F.round("f.scale", 6).alias("scale"), "p.x", "p.y")
+
+
+# ---- budget, warnings, receipts, scores --------------------------------------------------------------------------
+
+
+@query(f"""WITH {DOC_LINES}, p AS (SELECT page_id, count(*) AS n, greatest(1754, max(t) + 64) AS height FROM lines GROUP BY 1)
+SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'interactive budget' WHEN n > 100 THEN 'dense page: ' || n || ' spans > 100' WHEN n >= 40 AND 22.0::DOUBLE / height < 0.010 THEN 'small print: median line 22px' END AS skip FROM p""")
+def referee_budget(spark, sf_dir):
+    spans = S.document_spans(spark, sf_dir)
+    rows = page.page_stats(spans, S.page_sizes(spans))
+    return rows.select("page_id", page.referee_skip(F.col("n_spans"), F.col("median_height"), F.col("height"), F.col("page_id") % 5 != 0).alias("skip"))
+
+
+@query(f"""WITH {DOC_LINES}, p AS (SELECT page_id, count(*) AS n, 1240 * greatest(1754, max(t) + 64) / 1e6::DOUBLE AS mp FROM lines GROUP BY 1)
+SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'SKEWED' WHEN page_id % 3 = 0 AND mp >= 0.3 AND n / mp < 4 THEN 'SPARSE_TEXT' END AS reason FROM p""")
+def share_warnings(spark, sf_dir):
+    spans = S.document_spans(spark, sf_dir)
+    rows = page.page_stats(spans, S.page_sizes(spans))
+    skew = F.when(F.col("page_id") % 7 == 0, 12.7).otherwise(0.5)
+    warning = page.share_warning(F.col("n_spans"), F.col("page_id") % 3, F.col("width"), F.col("height"), skew)
+    return rows.select("page_id", warning["reason"].alias("reason"))
+
+
+_STAGES = [("CPU", "det"), ("CPU", "qwen"), ("NPU", "cls"), ("GPU", "gemma")]
+
+
+def _stages(spark, sf_dir) -> DataFrame:
+    """Four stages a customer."""
+    stage = F.posexplode(F.array(*[F.struct(F.lit(s).alias("silicon"), F.lit(t).alias("task")) for s, t in _STAGES])).alias("seq", "x")
+    rows = S.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("page_id"), stage).select("page_id", "seq", "x.silicon", "x.task")
+    n = _mod(6, "page_id", "seq")
+    return rows.withColumns({"status": F.when(n == 0, "SKIPPED").when(n == 1, "FAILED").otherwise("OK"), "span_count": n * 3, "elapsed_ms": _mod(997, "page_id", "seq") * 100,
+                             "backend": F.when(n == 2, "failed").when(n < 4, "GPU").otherwise("CPU")})
+
+
+_STAGE_SQL = "s AS (SELECT c_custkey::BIGINT AS page_id, seq, silicon, task, (7 * c_custkey + 13 * seq) % 6 AS n, (7 * c_custkey + 13 * seq) % 997 * 100 AS ms FROM customer, (VALUES " + ", ".join(
+    f"({i}, '{s}', '{t}')" for i, (s, t) in enumerate(_STAGES)) + ") v(seq, silicon, task))"
+
+
+@query(f"""WITH {_STAGE_SQL}, d AS (SELECT *, task || CASE WHEN n = 0 THEN ' skip' WHEN n = 1 THEN ' fail' ELSE ' ' || (n * 3)::VARCHAR END AS x, list_position(['CPU', 'NPU', 'GPU'], silicon) AS place FROM s),
+g AS (SELECT page_id, silicon, place, silicon || '·' || string_agg(x, ' · ' ORDER BY seq) AS x, CASE WHEN count(*) FILTER (WHERE n > 1) > 0 THEN silicon || ' ' || (sum(n * 3) FILTER (WHERE n > 1))::VARCHAR END AS c, sum(ms) AS ms FROM d GROUP BY 1, 2, 3)
+SELECT page_id, string_agg(x, ' | ' ORDER BY place) || ' | total ' || printf('%.1f', (sum(ms) / 1000.0)::DOUBLE) || 's' AS receipt, coalesce(string_agg(c, ' · ' ORDER BY place), '') AS chip FROM g GROUP BY 1""")
+def backend_receipt(spark, sf_dir):
+    return page.receipts(_stages(spark, sf_dir))
+
+
+@query(f"WITH {_STAGE_SQL} SELECT page_id, sum(ms)::BIGINT AS total_ms, sum(CASE WHEN task = 'gemma' THEN ms ELSE 0 END)::BIGINT AS referee_ms, sum(CASE WHEN n > 1 THEN n * 3 ELSE 0 END)::BIGINT AS n_spans FROM s GROUP BY 1")
+def stage_totals(spark, sf_dir):
+    ok = F.when(F.col("status") == "OK", F.col("span_count")).otherwise(0)
+    return _stages(spark, sf_dir).groupBy("page_id").agg(F.sum("elapsed_ms").alias("total_ms"), F.sum(F.when(F.col("task") == "gemma", F.col("elapsed_ms")).otherwise(0)).alias("referee_ms"), F.sum(ok).alias("n_spans"))
+
+
+@query(f"""WITH {_STAGE_SQL}, b AS (SELECT page_id, seq, CASE WHEN n = 2 THEN 'failed' WHEN n < 4 THEN 'GPU' ELSE 'CPU' END AS x FROM s), f AS (SELECT page_id, x, min(seq) AS seq0 FROM b WHERE x <> 'failed' GROUP BY 1, 2)
+SELECT page_id, string_agg(x, '+' ORDER BY seq0) AS backends FROM f GROUP BY 1""")
+def loaded_backends(spark, sf_dir):
+    return page.loaded_backends(_stages(spark, sf_dir))
+
+
+def _truth(spark, sf_dir) -> DataFrame:
+    """What must be hidden on a form: the holder, the numbers; what must stay: captions, branch and heading; "Type" is ambiguous."""
+    text = [("First National Bank Statement", "KEEP"), *[(c, "AMBIG" if c == "Type" else "KEEP") for c, _ in _FIELDS]]
+    fixed = S.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("page_id"), F.posexplode(F.array(*[F.struct(F.lit(t).alias("text"), F.lit(c).alias("cls")) for t, c in text])).alias("seq", "x"))
+    fixed = fixed.select("page_id", "seq", "x.text", "x.cls")
+    values = ordered_forms(spark, sf_dir).where(F.col("span_id").isin(3, 5, 11, 13, 17, 19, 21, 23, 25, 27, 29)).select("page_id", (100 + F.col("span_id")).alias("seq"), "text", F.lit("HIDE").alias("cls"))
+    return fixed.unionByName(values)
+
+
+@query()
+def truth_match(spark, sf_dir):
+    return page.truth_match(ordered_forms(spark, sf_dir), _truth(spark, sf_dir)).select("page_id", "span_id", "cls")
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    rows = analysed(ordered_forms(spark, sf_dir)).where("det IS NOT NULL").withColumns({"action": F.col("det.action"), "source": F.col("det.source")})
+    return page.truth_match(rows, _truth(spark, sf_dir))
+
+
+@query()
+def score_confusion(spark, sf_dir):
+    return page.confusion(_scored(spark, sf_dir))
+
+
+@query()
+def score_by_source(spark, sf_dir):
+    return _scored(spark, sf_dir).where("cls IS NOT NULL AND cls <> 'AMBIG'").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FORMS}, {_MERGED} SELECT page_id, span_id AS id, action, source AS src, l AS x, t AS y, text FROM m")
+def span_log(spark, sf_dir):
+    """Decisions written as log lines, twice, and read again: the last pass counts."""
+    merged = merge.merge_decisions(_staged(spark, sf_dir)).where(F.col("span_id").isin([i for i, *_ in _EXPECTED]))
+    lines = merge.span_log(merged)
+    both = lines.withColumn("nth", F.col("span_id")).unionByName(lines.withColumn("nth", F.col("span_id") + 1000))
+    return S.read_span_log(both, "nth", key="page_id").select("page_id", "id", "action", "src", "x", "y", "text")
+
+
+@query()
+def stats_line(spark, sf_dir):
+    return page.stats_line(merge.merge_decisions(_staged(spark, sf_dir)))
+
+
+@query(f"WITH {FORMS}, {_MERGED} SELECT page_id, count(*) FILTER (WHERE action = 'HIDE')::BIGINT AS n_hide, count(*) FILTER (WHERE action = 'KEEP')::BIGINT AS n_keep, 0::BIGINT AS n_unsure FROM m GROUP BY 1")
+def action_counts(spark, sf_dir):
+    return page.action_counts(merge.merge_decisions(_staged(spark, sf_dir)).where(F.col("span_id").isin([i for i, *_ in _EXPECTED])))
+
+
+@query(f"WITH {DOC_LINES}, x AS (SELECT page_id, pos, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM lines) SELECT page_id, pos, {_CLIP} AS clipped, (length(text) // 3 + 16)::INT AS tokens FROM x")
+def clipped_lines(spark, sf_dir):
+    t = T.trimmed(F.col("text"))
+    return S.document_spans(spark, sf_dir).select("page_id", "pos", T.clip(F.col("text")).alias("clipped"), T.token_estimate(t).alias("tokens"))
+
+
+@query("SELECT conv_id::BIGINT AS page_id, count(*) FILTER (WHERE regexp_matches(text, '[^\\s]'))::BIGINT AS n_lines FROM conversations GROUP BY 1 HAVING count(*) FILTER (WHERE regexp_matches(text, '[^\\s]')) > 0")
+def turn_lines(spark, sf_dir):
+    return S.turn_spans(spark, sf_dir).groupBy("page_id").agg(F.count("*").alias("n_lines"))
