@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import vocabulary as V
 from .entities import has_strong
-from .text import any_of, fuzzy_phrase, let, letters, matches_any, squeezed, strip_both, strip_end, trimmed, word_count
+from .text import any_of, fuzzy_phrase, let, letters, listed, matches_any, squeezed, strip_both, strip_end, trimmed, word_count
 
 _TAIL = r":\-–"
 _INLINE = r"^([\p{L}\p{M}][\p{L}\p{M} ./'\-]{0,28}?)[\s]*[:：][\s]*(.+)$"
@@ -24,7 +24,7 @@ def is_caption(c: Column, captions: list[str] = V.CAPTIONS) -> Column:
     def test(t: Column, own: Column) -> Column:
         shape = (F.length(t) > 0) & (F.length(t) <= 34) & ~F.contains(t, F.lit("@")) & own.rlike(r"\p{L}")
         colon = F.endswith(t, F.lit(":")) & ~own.rlike(r"\d") & (word_count(own) <= 4)
-        return shape & (F.lower(own).isin(captions) | colon)
+        return shape & (F.array_contains(listed(captions), F.lower(own)) | colon)
 
     return F.coalesce(let(trimmed(c), lambda t: let(caption(t), lambda own: test(t, own))), F.lit(False))
 
@@ -68,7 +68,7 @@ def is_header(text: Column, role: Column, top: Column, height: Column, hints: Co
 def is_public_entity(c: Column) -> Column:
     def test(t: Column) -> Column:
         words = F.transform(F.split(t, r"\s+"), lambda w: strip_both(w, r".,()&\-"))
-        named = ~t.rlike(r"\d") & (F.size(words) <= 8) & F.arrays_overlap(words, F.array(*[F.lit(w) for w in V.INSTITUTION_WORDS]))
+        named = ~t.rlike(r"\d") & (F.size(words) <= 8) & F.arrays_overlap(words, listed(V.INSTITUTION_WORDS))
         return F.length(t).between(4, 60) & t.rlike(r"\p{L}") & (any_of(V.ISSUER_PHRASES, lambda p: fuzzy_phrase(t, p)) | named)
 
     return F.coalesce(let(F.lower(strip_end(trimmed(c), r".,:\-")), test), F.lit(False))
