@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,11 +93,10 @@ def fuzzy_phrase(line: Column, phrase: Column) -> Column:
 def matches_any(label: Column, stems: list[str]) -> Column:
     """A label is a stem, starts or ends with one, holds one at a word's start, or is nearly one."""
 
-    def among(at: Column) -> Column:
-        def one(s: Column) -> Column:
-            inside = (F.length(at) > F.length(s)) & (F.startswith(at, s) | F.endswith(at, s) | F.contains(at, F.concat(F.lit(" "), s)))
-            return (at == s) | inside | fuzzy_equals(at, s)
+    whole = "|".join(re.escape(s) for s in sorted(stems, key=len))
+    found = f"^(?:{whole})|(?:{whole})$| (?:{whole})"
 
-        return (F.length(at) > 0) & any_of(stems, one)
+    def among(at: Column) -> Column:
+        return (F.length(at) > 0) & (at.rlike(found) | any_of(stems, lambda s: fuzzy_equals(at, s)))
 
     return F.coalesce(let(strip_both(F.lower(trimmed(label)), ".,\\-"), among), F.lit(False))
