@@ -15,7 +15,7 @@ from .common import Block, blocks, fold, sample_labelled, small_batches
 from .langid import letters
 
 #: Labelled training documents of each class, of at most so many bytes each.
-SAMPLE, SAMPLE_BYTES = 2500, 1 << 16
+SAMPLE, SAMPLE_BYTES = 1800, 1 << 15
 #: A word or word start counts as a feature from so many toxic training documents on (or two thirds of a hundredth of them, if
 #: more), and if its share among them is so many times that among the others; the most telling FEATURES are kept.
 LEAST, LIFT, FEATURES = 4, 20.0, 256
@@ -229,15 +229,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
+def _tokens_of(texts: list[str]) -> Tokens:
+    """Tokens of all texts, made in blocks, as hashing takes many times a block's size."""
+    parts, sentences = [], 0
+    for lo, _, block in blocks(pa.array(texts, pa.large_string()), 1 << 20):
+        t = tokenize(block)
+        parts.append(Tokens(t.start.astype(np.int32), t.end.astype(np.int32), (t.doc + lo).astype(np.int32), (t.sentence + sentences).astype(np.int32), t.hashes))
+        sentences = int(parts[-1].sentence[-1]) + 1 if len(t.sentence) else sentences
+    every = lambda name: np.concatenate([getattr(p, name) for p in parts])
+    return Tokens(every("start"), every("end"), every("doc"), every("sentence"), [np.concatenate(h) for h in zip(*(p.hashes for p in parts))])
+
+
 def fit(samples: list[tuple[str, int]], rounds: int = 40) -> Crf | None:
     """Trains on labelled documents. Only documents are labelled, so tokens get labels from them: a token with a feature is
     labelled toxic in a toxic document, every other token is labelled plain. Conditional likelihood by gradient steps (Adam)."""
     y = np.array([int(v > 0) for _, v in samples])
     if not len(y) or y.all() or not y.any():
         return None
-    raw = [s.encode() for s, _ in samples]
-    block = Block(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
-    t = tokenize(block)
+    t = _tokens_of([s for s, _ in samples])
     keys = _features(t, y, max(LEAST, int(y.sum()) // 150) if y.sum() >= 40 else 3)
     k = len(keys)
     crf = Crf(keys, np.zeros(k + 1), np.zeros(k + 1), -4.0, np.zeros((2, 2)), np.zeros(5), np.zeros(4), np.ones(4))
