@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import Block, blocks, fold, sample_labelled, small_batches
 
 #: Labelled training documents of each class, of at most so many bytes each; hashed words; rank of the interactions.
-SAMPLE, SAMPLE_BYTES, BITS, RANK = 2500, 1 << 16, 14, 8
+SAMPLE, SAMPLE_BYTES, BITS, RANK = 1800, 1 << 15, 14, 8
 EPOCHS, RATE, RIDGE = 12, 0.05, 1e-4
 THRESHOLD = 0.5
 STATS = ("words", "bytes", "lines", "word_length", "distinct", "repeats", "top_word", "punctuation", "digits", "capitals", "other", "long_words", "stops", "line_length")
@@ -106,8 +106,9 @@ def fit(samples: list[tuple[str, int]], seed: int = 7) -> Machine | None:
     if not len(y) or y.all() or not y.any():
         return None
     rng = np.random.default_rng(seed)
-    raw = [s.encode() for s, _ in samples]
-    rows = describe(Block(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])))
+    parts = [describe(block) for _, _, block in blocks(pa.array([s for s, _ in samples], pa.large_string()), 1 << 20)]
+    held = np.cumsum([0, *(len(r.feature) for r in parts)])
+    rows = Rows(np.concatenate([[0], *(r.first[1:] + h for r, h in zip(parts, held))]), *(np.concatenate([getattr(r, k) for r in parts]) for k in ("feature", "value", "stats")))
     size = (1 << BITS) + len(STATS)
     m = Machine(0.0, np.zeros(size), rng.normal(0, 0.02, (size, RANK)).astype(np.float32), rows.stats.mean(axis=0), rows.stats.std(axis=0) + 1e-6)
     row, feature, value = m.join(rows)
