@@ -13,8 +13,8 @@ from .common import Block, blocks, fold, small_batches, unit_hash
 
 #: Lengths of the n-grams (in UTF-8 bytes) that the spectrum blends, and bits of their hash.
 LENGTHS, BITS = (1, 2, 3, 4), 18
-#: Training rows of a language, of at most so many bytes each; landmarks of a language; n-grams that the kernel sees; ridge.
-SAMPLE, SAMPLE_BYTES, LANDMARKS, GRAMS, RIDGE = 400, 1 << 16, 32, 8192, 1e-2
+#: Training rows of all languages together (shared among them, at most SAMPLE each), of at most so many bytes each; landmarks of a language; n-grams that the kernel sees; ridge.
+TOTAL, SAMPLE, SAMPLE_BYTES, LANDMARKS, GRAMS, RIDGE = 1600, 400, 1 << 16, 32, 8192, 1e-2
 #: Languages that are learned, the most frequent ones.
 LANGS = 64
 UNKNOWN = "und"
@@ -118,6 +118,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, mo
     counts = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "l").limit(LANGS).collect()
     if not counts:
         return []
+    per_lang = min(per_lang, max(1, TOTAL // len(counts)))
     share = F.coalesce(*[F.when(F.col("l") == r.l, F.lit(min(1.0, per_lang / r.n))) for r in counts])
     drawn = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "id", "t"), 11) * F.lit(2.0**-53)
     got = rows.where((F.octet_length("t") <= SAMPLE_BYTES) & (drawn < share)).limit(2 * per_lang * len(counts)).collect()
