@@ -475,7 +475,7 @@ def masked_text(spark, sf_dir):
     return rows.select("page_id", "span_id", merge.masked_text(F.col("text"), F.col("action")).alias("masked"))
 
 
-@query(f"""WITH {FORMS}, {_MERGED} SELECT page_id, span_id, greatest(l - 3, 0) AS l, greatest(t - 3, 0) AS t, least(r + 3, 1240) AS r, b + 3 AS b, round(least(10.0, 28 * 0.12::DOUBLE), 4) AS radius FROM m WHERE action = 'HIDE'""")
+@query(f"""WITH {FORMS}, {_MERGED} SELECT page_id, span_id, greatest(l - 3, 0) AS l, greatest(t - 3, 0) AS t, least(r + 3, 1240)::INT AS r, b + 3 AS b, round(least(10.0, 28 * 0.12::DOUBLE), 4) AS radius FROM m WHERE action = 'HIDE'""")
 def redaction_bars(spark, sf_dir):
     rows = merge.merge_decisions(_staged(spark, sf_dir)).where(F.col("span_id").isin([i for i, *_ in _EXPECTED]))
     return merge.bars(rows, S.page_sizes(rows))
