@@ -142,5 +142,29 @@ def test_stats_and_logs(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "runs")).count() == 4
 
 
+def test_whole_forms(spark, tiny, monkeypatch):
+    """Every line of a form, compared with Python over the decisions of all_decisions."""
+    forms = S.form_spans(spark, tiny).where("page_id BETWEEN 1 AND 4").cache()
+    monkeypatch.setattr(S, "form_spans", lambda *_: forms)
+    sizes = {r.page_id: (r.width, r.height) for r in S.page_sizes(forms).collect()}
+    lines = {(r.page_id, r.span_id): r for r in catalogue.ordered_forms(spark, tiny).collect()}
+    said = {(r.page_id, r.span_id): r for r in catalogue.QUERIES["all_decisions"](spark, tiny).collect()}
+    assert set(said) == set(lines) == {(p, i) for p in sizes for i in range(1, 34)}
+    got = lambda name: catalogue.QUERIES[name](spark, tiny).collect()
+    hide = {k for k, r in said.items() if r.action == "HIDE"}
+    assert {i for _, i in hide} - {i for i, *_ in catalogue._EXPECTED}
+    assert {(r.page_id, r.span_id): r.masked for r in got("form_masked_text")} == {k: "█" * len(r.text) if k in hide else r.text for k, r in lines.items()}
+    want = {k: (max(lines[k].l - 3, 0), max(lines[k].t - 3, 0), min(lines[k].r + 3, sizes[k[0]][0]), min(lines[k].b + 3, sizes[k[0]][1])) for k in hide}
+    assert {(r.page_id, r.span_id): (r.l, r.t, r.r, r.b) for r in got("form_redaction_bars")} == want
+    n = lambda p, a: sum(k[0] == p and r.action == a for k, r in said.items())
+    assert {r.page_id: r.n_hidden for r in got("form_hidden_spans")} == {p: n(p, "HIDE") for p in sizes if n(p, "HIDE")}
+    assert {r.page_id: (r.n_hide, r.n_keep, r.n_unsure) for r in got("form_action_counts")} == {p: (n(p, "HIDE"), n(p, "KEEP"), n(p, "UNSURE")) for p in sizes}
+    flip = lambda k, r: ("KEEP" if r.action == "HIDE" else "HIDE", "USER") if k[1] == 11 else (r.action, r.source)
+    assert {(r.page_id, r.span_id): (r.action, r.source) for r in got("form_toggled_decisions")} == {k: flip(k, r) for k, r in said.items()}
+    assert {(r.page_id, r.id): (r.action, r.src, r.x, r.y, r.text) for r in got("form_span_log")} == {k: (r.action, r.source, lines[k].l, lines[k].t, lines[k].text) for k, r in said.items()}
+    hints = [r.page_id for r in E.with_hints(forms).collect() if r.hints]
+    assert {r.page_id: r.n_identified for r in got("form_lines_with_hints")} == {p: hints.count(p) for p in sizes}
+
+
 def test_catalogue_has_oracles():
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES) and len(catalogue.QUERIES) >= 60

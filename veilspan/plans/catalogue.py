@@ -491,6 +491,58 @@ def hit_test(spark, sf_dir):
     return merge.hit_test(spans, taps, slop=12)
 
 
+# ---- whole forms -------------------------------------------------------------------------------------------------
+
+# The SQL of det_decisions, merged_decisions, masked_text and the like states the lines of _EXPECTED only, so those queries keep to
+# them. These give every line of every form and have no SQL; form_decisions and all_decisions are the decisions themselves.
+
+
+def _merged(spark, sf_dir) -> DataFrame:
+    return merge.merge_decisions(_staged(spark, sf_dir))
+
+
+@query()
+def form_lines_with_hints(spark, sf_dir):
+    rows = E.with_hints(S.form_spans(spark, sf_dir))
+    return rows.groupBy("page_id").agg(F.count_if(F.size("hints") > 0).alias("n_identified"))
+
+
+@query()
+def form_hidden_spans(spark, sf_dir):
+    return merge.hidden(_merged(spark, sf_dir)).groupBy("page_id").agg(F.count("*").alias("n_hidden"))
+
+
+@query()
+def form_toggled_decisions(spark, sf_dir):
+    """Every page's eleventh line is tapped."""
+    merged = _merged(spark, sf_dir)
+    return merge.toggled(merged, merged.where("span_id = 11")).select("page_id", "span_id", "action", "source")
+
+
+@query()
+def form_masked_text(spark, sf_dir):
+    return _merged(spark, sf_dir).select("page_id", "span_id", merge.masked_text(F.col("text"), F.col("action")).alias("masked"))
+
+
+@query()
+def form_redaction_bars(spark, sf_dir):
+    rows = _merged(spark, sf_dir)
+    return merge.bars(rows, S.page_sizes(rows))
+
+
+@query()
+def form_span_log(spark, sf_dir):
+    """Decisions written as log lines, twice, and read again: the last pass counts."""
+    lines = merge.span_log(_merged(spark, sf_dir))
+    both = lines.withColumn("nth", F.col("span_id")).unionByName(lines.withColumn("nth", F.col("span_id") + 1000))
+    return S.read_span_log(both, "nth", key="page_id").select("page_id", "id", "action", "src", "x", "y", "text")
+
+
+@query()
+def form_action_counts(spark, sf_dir):
+    return page.action_counts(_merged(spark, sf_dir))
+
+
 # ---- geometry ----------------------------------------------------------------------------------------------------
 
 _ANGLE = "((7 * page_id + 13 * pos) % 9 - 4 + (page_id % 12) * 30)::DOUBLE"
