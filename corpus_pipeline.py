@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm import decontam, mixing, sharding, simhash, toxicity
-from veilspan.llm.common import write_table
+from veilspan.llm.common import row_hash, write_table
 
 SHARDS = 8
 
@@ -18,30 +18,43 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 0").select("row.*")
 
 
+def _same(docs: DataFrame, keys: DataFrame) -> Column:
+    """Rows of ``docs`` that a key (id, row) means."""
+    return docs.doc_id.cast("long").eqNullSafe(keys.id) & (row_hash(docs) == keys.row)
+
+
+def _one_each(docs: DataFrame) -> DataFrame:
+    """One of each set of rows that are equal in all columns."""
+    return docs.withColumn("_row", row_hash(docs)).dropDuplicates(["doc_id", "_row"]).drop("_row")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by SimHash the one with the smallest doc_id; of rows that repeat that id, one.
+    """Of each group of rows linked by SimHash the one with the smallest doc_id (then by a hash of the row); of rows equal in all columns, one.
 
-    Rows with a null doc_id are in no group and stay.
+    Groups are of texts, so rows that share an id but are in different groups are decided on their own. Rows with a null doc_id make
+    groups of their own.
     """
-    groups = simhash.simhash_components(docs)
-    firsts = write_table(groups.where("id = component").groupBy("id").agg(F.count("*").alias("n")), "firsts")
-    kept = docs.join(firsts.where("n = 1"), docs.doc_id == firsts.id, "left_semi")
-    repeated = docs.join(firsts.where("n > 1"), docs.doc_id == firsts.id, "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
+    firsts = write_table(simhash.simhash_firsts(docs), "firsts")
+    single, repeated = firsts.where("n = 1"), firsts.where("n > 1")
+    return docs.join(single, _same(docs, single), "left_semi").unionByName(_one_each(docs.join(repeated, _same(docs, repeated), "left_semi")))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage. (Rows with a null doc_id can't be told apart: they go if one of them holds one.)"""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = write_table(decontam.find_passages(docs, benchmark).select(F.col("id").alias("bad")).distinct(), "leaks")
-    return docs.join(found, docs.doc_id.eqNullSafe(found.bad), "left_anti")
+    """Rows whose own text holds no benchmark passage."""
+    return decontam.without_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: a row for each whole copy (0 to 2), so sources come to their targets."""
-    taken = mixing.mix_documents(docs).groupBy("id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
-    copies = taken.select(F.col("id").alias("_id"), mixing.copies(F.col("size"), F.col("taken"), F.col("id")).alias("_copies")).where("_copies > 0")
-    return docs.join(copies, docs.doc_id.eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Each row as often as the mix takes it: a row for each whole copy (0 to 2), so sources come to their targets. Rows that are equal
+    in all columns are taken together, up to twice their number."""
+    mixed = mixing.mix_documents(docs.withColumn("_row", row_hash(docs)), carried=("_row",))
+    taken = mixed.groupBy("id", F.col("_row").alias("row")).agg(F.max("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("n"))
+    copies = write_table(taken.select("id", "row", "n", mixing.copies(F.col("size"), F.col("taken"), F.col("id"), F.col("row")).alias("_copies")).where("_copies > 0"), "copies")
+    single, repeated = copies.where("n = 1"), copies.where("n > 1")
+    whole = _one_each(docs.join(repeated, _same(docs, repeated), "left_semi"))
+    out = docs.join(single, _same(docs, single)).select(*[docs[c] for c in docs.columns], "_copies")
+    out = out.unionByName(whole.join(repeated, _same(whole, repeated)).select(*[whole[c] for c in docs.columns], "_copies"))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,11 @@ def fold(col: str, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """64-bit hash of a row's columns and of which of them are null."""
+    return F.xxhash64(*[x for c in df.columns for x in (df[c].isNull(), df[c])])
+
+
 def unit_hash(seed: str, *cols: str) -> Column:
     """A draw from (0, 1] that depends on the seed and the columns only."""
     h = F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, Block, blocks, mix, small_batches
@@ -198,6 +200,16 @@ def _search(block: Block, index: Index, q: int):
 _SCHEMA = "id long, item_id long, edits int, budget int, start long, end long"
 
 
+def _indexes(spark: SparkSession, benchmark: DataFrame, q: int, rate: float) -> Iterator[Broadcast]:
+    """The broadcast index of each pass: parts of the benchmark of about INDEX_CHARS."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("t IS NOT NULL AND length(t) > 0")
+    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    passes = max(1, -(-total // INDEX_CHARS))
+    for part in range(passes):
+        own = sorted(items.where(F.pmod(F.xxhash64("t"), F.lit(passes)) == part).collect(), key=lambda r: (r.i is None, r.i or 0, r.t))
+        yield spark.sparkContext.broadcast(build_index([(r.i, r.t) for r in own], q, rate))
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = Q, rate: float = EDIT_RATE) -> DataFrame:
     """(id, item_id, edits, budget, start, end): the best region of every benchmark passage in every document that holds it.
 
@@ -212,14 +224,9 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("t IS NOT NULL AND length(t) > 0")
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    passes = max(1, -(-total // INDEX_CHARS))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     out = None
-    for part in range(passes):
-        own = sorted(items.where(F.pmod(F.xxhash64("t"), F.lit(passes)) == part).collect(), key=lambda r: (r.i is None, r.i or 0, r.t))
-        index = spark.sparkContext.broadcast(build_index([(r.i, r.t) for r in own], q, rate))
+    for index in _indexes(spark, benchmark, q, rate):
 
         def run(batches, index=index):
             known = index.value
@@ -238,3 +245,23 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         got = rows.mapInArrow(run, _SCHEMA)
         out = got if out is None else out.unionByName(got)
     return out
+
+
+def without_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", q: int = Q, rate: float = EDIT_RATE) -> DataFrame:
+    """The rows of ``docs``, all columns, in which :func:`find_passages` finds nothing; each row is judged by its own text."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    at = docs.columns.index(text_col)
+    for index in _indexes(spark, benchmark, q, rate):
+
+        def run(batches, index=index):
+            known = index.value
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                for lo, _, block in blocks(b.column(at)) if known.passages else ():
+                    normal, _ = _normal(block.raw, block.at)
+                    clean[[lo + d for d, _ in _search(normal, known, q)]] = False
+                yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

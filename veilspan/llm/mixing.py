@@ -79,10 +79,10 @@ def _gcd_free(n: Column, seed: int) -> Column:
     return F.coalesce(*[F.when(n % F.lit(p) != 0, F.lit(p)) for p in primes], F.lit(1)).cast("long")
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
-    """(id, source, size, source_size, target, taken), a row for each row of ``docs``.
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(id, source, size, source_size, target, taken) and the columns ``carried``, a row for each row of ``docs``.
 
-    A source's words, in order of id, size and checksum, are cut into blocks of ``block`` words. Its quota of q among n blocks
+    A source's words, in order of id, size, checksum and the columns ``carried``, are cut into blocks of ``block`` words. Its quota of q among n blocks
     takes each block q div n times, and once more the q mod n blocks that a seeded permutation puts first. ``taken`` adds up the
     words of a document that fall in taken blocks, so reruns agree, no document exceeds twice its words, and a source's words
     come within a block of its target.
@@ -94,13 +94,13 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), words_in(text).alias("size"),
-                       F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"))
+                       F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"), *carried)
     rows = rows.withColumn("run", F.shiftright("id", RUN_BITS))
     runs = rows.groupBy("source", "run").agg(F.sum("size").alias("n"))
     upto = Window.partitionBy("source").orderBy(F.col("run").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     firsts = runs.select(F.col("source").alias("s2"), F.col("run").alias("r2"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("first"))
     quotas = block_quotas(source_targets(runs.groupBy("source").agg(F.sum("n").alias("source_size"))), block)
-    within = Window.partitionBy("source", "run").orderBy("id", "size", "crc").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "run").orderBy("id", "size", "crc", *carried).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0)))
     plan = firsts.join(quotas, F.col("s2").eqNullSafe(F.col("source"))).drop("source")
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s2")) & F.col("run").eqNullSafe(F.col("r2")))
@@ -115,7 +115,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return overlap * (F.col("times") + extra)
 
     taken = F.when(F.col("size") > 0, F.aggregate(F.sequence(lo, hi), F.lit(0).cast("long"), lambda s, b: s + part(b).cast("long"))).otherwise(F.lit(0))
-    return rows.select("id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *carried)
 
 
 def copies(size: Column, taken: Column, *keys: Column) -> Column:

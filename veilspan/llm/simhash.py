@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, write_table
+from .common import row_hash, small_batches, write_table
 from .components import connected_components
 
 #: Fingerprints of 64 bits are cut into this many parts; two that differ in at most RADIUS bits agree on BLOCKS - RADIUS parts.
@@ -65,15 +65,15 @@ def fingerprints(texts: pa.Array, width: int = 3) -> np.ndarray:
     return out
 
 
-def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp long): the fingerprint's bits as a signed long."""
+def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp long) and the columns ``carried``, which are longs: the fingerprint's bits as a signed long."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(b.column(1), width).view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(b.column(1), width).view(np.int64)), *b.columns[2:]], ["id", "fp", *carried])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), *carried).mapInArrow(run, ", ".join(f"{c} long" for c in ("id", "fp", *carried)))
 
 
 # ---- bit-sliced comparison ---------------------------------------------------------------------------------------
@@ -210,6 +210,12 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     return rows.mapInArrow(_compare, "a long, b long")
 
 
+def _groups(fps: DataFrame) -> DataFrame:
+    """``fps``, a row for each ``fp``, with ``root``, which is the same for all fingerprints that links connect."""
+    roots = connected_components(link_fingerprints(fps.select("fp"))).select(F.col("node").alias("fp"), "root")
+    return fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, fp, component): one row for each row of ``docs``.
 
@@ -219,13 +225,29 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     own = write_table(with_fingerprint(docs, id_col, text_col, width), "fingerprints")
     fps = own.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("least"))
-    edges = link_fingerprints(fps.select("fp"))
-    roots = connected_components(edges).select(F.col("node").alias("fp"), "root")
-    group = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    group = _groups(fps)
     least = group.groupBy("root").agg(F.min("least").alias("component"))
     found = group.join(least, "root").select("fp", "component")
     return own.join(found, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
+def simhash_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, row, n): the row that stands for each group of linked texts, found by id and :func:`row_hash`, and how often it is there.
+
+    Groups are those of :func:`simhash_components`; the row is the one with the smallest id, then the smallest hash. Rows with a null
+    id are linked among themselves only, so they never stand for a row with an id or the other way round.
+    """
+    keyed = docs.withColumn("_row", row_hash(docs))
+    own = write_table(with_fingerprint(keyed, id_col, text_col, carried=("_row",)), "fingerprints")
+    one = own.groupBy("id", "_row", "fp").agg(F.count("*").alias("n"))
+
+    def firsts(rows: DataFrame) -> DataFrame:
+        least = rows.groupBy("fp").agg(F.min(F.struct("id", "_row", "n")).alias("least"))
+        return _groups(least).groupBy("root").agg(F.min("least").alias("least")).select("least.id", F.col("least._row").alias("row"), "least.n")
+
+    out = firsts(one.where("id IS NOT NULL"))
+    return out if own.where("id IS NULL").isEmpty() else out.unionByName(firsts(one.where("id IS NULL")))
+
+
 def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
