@@ -431,3 +431,19 @@ def test_quotas_are_those_of_highest_quotients(spark):
             if open_:
                 quota[max(open_, key=lambda s: (target[s] / (2 * quota[s] + 1), [-ord(c) for c in s]))] += 1
         assert {r.source: r.quota for r in rows} == {s: quota[s] for s in target}
+
+
+def test_forest_of_a_concentrated_label():
+    """Links of a large label with mean cosine 0.88, found by brute force, share a leaf."""
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    axis = unit(rng.normal(size=(1, 64)))
+    off = rng.normal(size=(8000, 64))
+    x = math.sqrt(0.88) * axis + math.sqrt(0.12) * unit(off - off @ axis.T * axis)
+    forest = embeddings.sized_forest(x[:4000], np.array(["large"] * 4000), 50_000)
+    other = x[4000:]
+    i, j = np.nonzero(np.triu(other @ other.T >= embeddings.RADIUS, 1))
+    leaves = [set() for _ in other]
+    for row, code in zip(*forest.leaves(other)):
+        leaves[row].add(int(code))
+    assert len(i) > 500 and np.mean([bool(leaves[a] & leaves[b]) for a, b in zip(i, j)]) >= 0.9

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, write_table
 from .components import connected_components
 
-#: Trees; share of a node's sample on either side of a split that goes both ways; rows that a leaf should hold; rows the trees are fitted on.
+#: Least number of trees; least share of a node's sample on either side of a split that goes both ways; rows that a leaf should hold; rows the trees are fitted on.
 TREES, SPILL, LEAF, SAMPLE = 8, 0.05, 256, 8192
+#: Share of measured pairs that must share a leaf; pairs from which a label (or the sample's links) is measured on its own; most pairs measured of each; wider spills that are tried.
+RECALL, OWN_PAIRS, MOST_PAIRS, SPILLS = 0.95, 256, 512, (SPILL, 0.1, 0.15)
 RADIUS = 0.93
 #: Vectors of a leaf that one comparison takes; larger leaves are cut into slices that meet pair by pair.
 SLICE = 2048
@@ -82,6 +84,95 @@ def fit_forest(sample: np.ndarray, rows: int, trees: int = TREES, spill: float =
                   np.array(child, np.int64).reshape(len(nodes), 2), roots)
 
 
+def _sharing(forest: Forest, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Number of leaves that each pair shares, and leaves of a vector."""
+    many = max(1, len(forest.child) * 2 + len(forest.roots) + 1)
+    (i, a), (j, b) = forest.leaves(x), forest.leaves(y)
+    both = np.intersect1d(i * many + a, j * many + b)
+    return np.bincount(both // many, minlength=len(x)), len(i) / max(1, len(x))
+
+
+def _pairs(sample: np.ndarray, labels: np.ndarray, radius: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, group): pairs by which a forest is measured.
+
+    A sample vector's partner moves towards another vector of its label, seen from the label's mean, until the cosine is ``radius``;
+    so partners are spread as the label is and pairs of a concentrated label are as hard to keep together as its links. The group is
+    the label, or one for all small labels; one more holds links found in the sample by brute force, if there are enough.
+    """
+    rng = np.random.default_rng(seed)
+    names, of, count = np.unique(labels, return_inverse=True, return_counts=True)
+    order = rng.permutation(len(sample))
+    order = order[np.argsort(of[order], kind="stable")]
+    first = np.concatenate([[0], np.cumsum(count)])
+    other = np.empty(len(sample), np.int64)
+    mean = np.empty_like(sample)
+    for g in range(len(names)):
+        own = order[first[g] : first[g + 1]]
+        other[own], mean[own] = np.roll(own, 1), sample[own].mean(axis=0) if len(own) > 1 else 0.0
+    u, v = sample - mean, sample[other] - mean
+    alone = other == np.arange(len(sample))
+    v[alone] = rng.normal(size=(int(alone.sum()), sample.shape[1])) / math.sqrt(sample.shape[1])
+    low, high = np.zeros((len(sample), 1)), np.ones((len(sample), 1))
+    for _ in range(30):
+        rho = (low + high) / 2
+        y = mean + rho * u + np.sqrt(1 - rho * rho) * v
+        y /= np.maximum(np.sqrt((y * y).sum(axis=1, keepdims=True)), 1e-300)
+        near = np.einsum("ij,ij->i", sample, y)[:, None] >= radius
+        low, high = np.where(near, low, rho), np.where(near, rho, high)
+    group = np.where(count[of] >= OWN_PAIRS, of, len(names))
+    rank = np.empty(len(sample), np.int64)
+    by = np.argsort(group, kind="stable")
+    rank[by] = np.arange(len(by)) - np.searchsorted(group[by], group[by])
+    kept = rank < MOST_PAIRS
+    x, y, group = sample[kept], y[kept], group[kept]
+    found = []
+    for lo in range(0, len(sample), 1024):
+        i, j = np.nonzero((sample[lo : lo + 1024] @ sample.T >= radius) & (of[lo : lo + 1024, None] == of))
+        some = np.flatnonzero(i + lo < j)
+        some = rng.choice(some, min(len(some), 4 * MOST_PAIRS), replace=False)
+        found.append(np.stack([i[some] + lo, j[some]]))
+    i, j = np.concatenate(found, axis=1)
+    if len(i) >= OWN_PAIRS:
+        some = rng.choice(len(i), min(len(i), 4 * MOST_PAIRS), replace=False)
+        x, y = np.concatenate([x, sample[i[some]]]), np.concatenate([y, sample[j[some]]])
+        group = np.concatenate([group, np.full(len(some), len(names) + 1)])
+    return x, y, group
+
+
+def sized_forest(sample: np.ndarray, labels: np.ndarray, rows: int, trees: int = TREES, radius: float = RADIUS, seed: int = 11) -> Forest:
+    """A forest of at least ``trees`` trees in which RECALL of each group of :func:`_pairs` share a leaf.
+
+    Where ``trees`` trees with the least spill don't bring enough of them together, as in labels whose vectors lie close to each
+    other, the spill with the fewest leaves a vector is taken and trees are added until they do.
+    """
+    forest = fit_forest(sample, rows, trees, seed=seed)
+    if not len(forest.child):
+        return forest
+    x, y, group = _pairs(sample, labels, radius, seed + 1)
+
+    def worst(share: np.ndarray) -> float:
+        return min(float(share[group == g].mean()) for g in np.unique(group))
+
+    if worst(_sharing(forest, x, y)[0] > 0) >= RECALL:
+        return forest
+    best = None
+    for spill in SPILLS:
+        # shares of single trees say how many are needed
+        alone = [_sharing(fit_forest(sample, rows, 1, spill, seed=seed + 100 + k), x, y) for k in range(4)]
+        p = worst(np.mean([n > 0 for n, _ in alone], axis=0))
+        if p > 0:
+            need = max(trees, math.ceil(math.log(1 - RECALL) / math.log(1 - min(p, 0.999))))
+            cost = need * float(np.mean([c for _, c in alone]))
+            best = min(best or (cost, need, spill), (cost, need, spill))
+    # where no split keeps any pair together all vectors meet in one leaf
+    _, need, spill = best or (0, 1, 0.5)
+    while True:
+        forest = fit_forest(sample, rows, need, spill, seed=seed)
+        if worst(_sharing(forest, x, y)[0] > 0) >= RECALL:
+            return forest
+        need += max(1, need // 4)
+
+
 def _stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest member of each position's group."""
     root = np.arange(n)
@@ -157,7 +248,8 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     nothing and are their own component; so are vectors of other lengths than the most common one (ties: the shorter). A row with
     a null id is linked with nothing and its component is null. Repeated rows count as copies. An empty table gives no rows.
 
-    The trees are fitted on a sample of at most SAMPLE vectors, chosen by a hash; every vector is indexed. A leaf with more than
+    The trees are fitted on a sample of at most SAMPLE vectors, chosen by a hash; every vector is indexed. There are
+    ``trees`` trees or as many more as the sample shows to be needed (:func:`sized_forest`). A leaf with more than
     SLICE vectors of a label is cut into slices that meet two by two: nothing is capped.
     """
     spark = vectors.sparkSession
@@ -178,11 +270,12 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         "vectors",
     )
     n, per_label = classes.count(), classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    drawn = classes.where(F.pmod(F.xxhash64(F.lit("forest"), "rep"), F.lit(max(1, math.ceil(n / (SAMPLE * 3 // 4))))) == 0).limit(SAMPLE).select("vec", "rep").collect()
-    sample = np.array([r.vec for r in sorted(drawn, key=lambda r: r.rep)], np.float64).reshape(len(drawn), dims)
+    drawn = classes.where(F.pmod(F.xxhash64(F.lit("forest"), "rep"), F.lit(max(1, math.ceil(n / (SAMPLE * 3 // 4))))) == 0).limit(SAMPLE).select("vec", "rep", "label").collect()
+    drawn.sort(key=lambda r: r.rep)
+    sample = np.array([r.vec for r in drawn], np.float64).reshape(len(drawn), dims)
     sample /= np.maximum(np.sqrt((sample * sample).sum(axis=1, keepdims=True)), 1e-300)
     # a leaf holds LEAF of the largest label's vectors
-    forest = spark.sparkContext.broadcast(fit_forest(sample, per_label, trees))
+    forest = spark.sparkContext.broadcast(sized_forest(sample, np.array([r.label for r in drawn]), per_label, trees, radius))
 
     def index(batches):
         for batch in batches:
