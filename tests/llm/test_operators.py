@@ -192,6 +192,30 @@ def test_lattice_sums_all_segmentations():
     assert np.isclose(spent, sum(map(len, words)))  # each byte is in one piece of a segmentation
 
 
+def test_long_words_are_learned_from(spark, monkeypatch):
+    """Training words of 48 bytes and more count in the expectation as shorter ones do."""
+    path = queries._vocabulary("piece_bpe_32k.model")
+    pieces = lattice.read_pieces(path)
+    vocab, prior = lattice.Pieces.of([p for p, _ in pieces]), np.array([w for _, w in pieces])
+    start = lattice._model(vocab, prior)
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(["天", "地", "ab", "q"], 40))
+    table = [(i, word()) for i in range(60)]
+    train = [(" " + t).encode() for i, t in table if zlib.crc32(str(i).encode()) % 7 != 2]
+    want, got = np.zeros(vocab.size + 1), np.zeros(vocab.size + 1)
+    lattice.WordLattice(train, vocab).expect(start.logp, np.full(len(train), 3.0), want)
+    monkeypatch.setattr(lattice, "LONG_STEP", 17)
+    for w in train:
+        lattice._long_expect(w, vocab, start.logp, 3.0, got)
+    assert np.allclose(got, want) and np.isclose(sum(got[k] * len(p) for k, (p, _) in enumerate(pieces)), 3 * sum(map(len, train)))
+    # every training word occurs once, so an unseen word has the whole mass of the pieces
+    tokens = 2 * len(train)
+    model = lattice._model(vocab, lattice._with_prior(want[:-1] / 3, prior, tokens))
+    unseen = {i: float(model.words([(" " + t).encode()])[0]) for i, t in table}
+    rows = lattice.score_texts(spark.createDataFrame(table, "doc_id long, text string"), path).collect()
+    assert any(r.held_out for r in rows) and all(math.isclose(r.score, (unseen[r.id] + 2 * math.log(0.5)) / math.log(10), rel_tol=1e-9) for r in rows)
+
+
 def test_lm_base_and_scores(spark, docs, awkward):
     path = queries._vocabulary("piece_bpe_32k.model")
     for table in (docs, awkward):
