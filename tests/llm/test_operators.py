@@ -272,6 +272,23 @@ def test_language(spark, awkward):
     assert {r.lang_pred for r in langid.predict_language(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """More than 64 languages, one of them with long texts only, many rows and few."""
+    rng = random.Random(5)
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for _ in range(80)]
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    data = [(i, text(k, 30), f"l{k:02}") for i, k in enumerate(k for k in range(79) for _ in range(40 if k < 64 else 12))]
+    data += [(10_000 + i, text(79, 12_000), "l79") for i in range(8)]
+    table = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    known = langid.training_rows(table, "doc_id", "text", "lang", 5, 0)
+    assert {x for x, _ in known} == {x for _, _, x in data} and all(len(t) <= langid.SAMPLE_BYTES for _, t in known)
+    # a share of less than one row for each language leaves none out
+    assert {x for x, _ in langid.training_rows(table, "doc_id", "text", "lang", 5, 0, per_lang=1)} == {x for _, _, x in data}
+    want = {i: x for i, _, x in data}
+    held = [(r.lang_pred == want[r.id], want[r.id]) for r in langid.predict_language(table).collect() if r.held_out]
+    assert sum(ok for ok, _ in held) >= 0.95 * len(held) and all(ok for ok, x in held if x == "l79") and any(x == "l79" for _, x in held)
+
+
 def test_crf_forward_backward():
     rng = np.random.default_rng(2)
     emit, step = rng.normal(size=(1, 6)), rng.normal(size=(2, 2))

@@ -9,14 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, blocks, fold, small_batches, unit_hash
+from .common import Block, blocks, fold, small_batches, write_table
 
 #: Lengths of the n-grams (in UTF-8 bytes) that the spectrum blends, and bits of their hash.
 LENGTHS, BITS = (1, 2, 3, 4), 18
-#: Training rows of all languages together (shared among them, at most SAMPLE each), of at most so many bytes each; landmarks of a language; n-grams that the kernel sees; ridge.
+#: Training rows of all languages together (shared among them, at most SAMPLE and about one at least each), of at most so many bytes each; landmarks of a language; n-grams that the kernel sees; ridge.
 TOTAL, SAMPLE, SAMPLE_BYTES, LANDMARKS, GRAMS, RIDGE = 1600, 400, 1 << 16, 32, 8192, 1e-2
-#: Languages that are learned, the most frequent ones.
-LANGS = 64
 UNKNOWN = "und"
 _PRIMES = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 
@@ -82,15 +80,20 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, grams: i
     if not names:
         return None
     data, at = _of_texts(texts)
-    y = np.array([names.index(x) for x in langs])
-    seen = np.zeros((len(names), 1 << BITS), np.float32)
-    for d in range(len(texts)):
-        own = np.zeros(1 << BITS, bool)
-        for g in _grams(data[at[d] : at[d + 1]]):
-            own[g] = True
-        seen[y[d]] += own
-    share = seen / np.bincount(y, minlength=len(names))[:, None]
-    spread = share.max(axis=0) - share.min(axis=0) if len(names) > 1 else share[0]
+    number = {x: k for k, x in enumerate(names)}
+    y = np.array([number[x] for x in langs])
+    # one language after the other, so that many take no more memory than few
+    most, least = np.zeros(1 << BITS, np.float32), np.ones(1 << BITS, np.float32)
+    for k in range(len(names)):
+        seen, docs = np.zeros(1 << BITS, np.float32), np.flatnonzero(y == k)
+        for d in docs.tolist():
+            own = np.zeros(1 << BITS, bool)
+            for g in _grams(data[at[d] : at[d + 1]]):
+                own[g] = True
+            seen += own
+        share = seen / len(docs)
+        most, least = np.maximum(most, share), np.minimum(least, share)
+    spread = most - least if len(names) > 1 else most
     chosen = np.sort(np.argsort(-spread, kind="stable")[:grams])
     column = np.full(1 << BITS, len(chosen), np.int32)
     column[chosen] = np.arange(len(chosen))
@@ -112,27 +115,39 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, grams: i
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, mod: int, held: int, per_lang: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most about ``per_lang`` training texts of each of the LANGS most frequent languages, chosen by a seeded hash of the id."""
+    """At most about ``per_lang`` training texts of each language, chosen by a seeded hash of the id and the text, and one at least.
+
+    Texts of at most SAMPLE_BYTES are taken, whole; of a language that has none, the first SAMPLE_BYTES // 4 characters of others.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & (fold("id", mod) != held))
-    counts = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "l").limit(LANGS).collect()
-    if not counts:
-        return []
-    per_lang = min(per_lang, max(1, TOTAL // len(counts)))
-    share = F.coalesce(*[F.when(F.col("l") == r.l, F.lit(min(1.0, per_lang / r.n))) for r in counts])
     drawn = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "id", "t"), 11) * F.lit(2.0**-53)
-    got = rows.where((F.octet_length("t") <= SAMPLE_BYTES) & (drawn < share)).limit(2 * per_lang * len(counts)).collect()
-    return sorted({(r.l, r.t) for r in got})
+    rows = rows.withColumns({"long": F.octet_length("t") > SAMPLE_BYTES, "u": drawn})
+    # the least (long, u) of a language is a row that is always taken
+    langs = rows.groupBy("l").agg(F.count_if(~F.col("long")).alias("short"), F.count("*").alias("n"), F.min(F.struct("long", "u")).alias("least"))
+    langs = write_table(langs.select("l", F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("n")).alias("n"), "least"), "languages")
+    many = langs.count()
+    if not many:
+        return []
+    per_lang = min(per_lang, max(1, TOTAL // many))
+    known = langs.withColumnRenamed("l", "of")
+    rows = rows.join(F.broadcast(known), F.col("l") == F.col("of")).where(F.col("long") == F.col("least.long"))
+    first = F.col("u") == F.col("least.u")
+    text = F.when(F.col("long"), F.substring("t", 1, SAMPLE_BYTES // 4)).otherwise(F.col("t")).alias("t")
+    # equal texts count once, so that they can't fill the sample
+    firsts = rows.where(first).select("l", text).dropDuplicates().collect()
+    others = rows.where(~first & (F.col("u") < F.lit(per_lang) / F.col("n"))).select("l", text).dropDuplicates().limit(2 * per_lang * many).collect()
+    return sorted({(r.l, r.t) for r in [*firsts, *others]})
 
 
 def predict_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", mod: int = 5, held: int = 0) -> DataFrame:
     """(id, held_out, lang_pred, score), a row for each row of ``docs``.
 
-    Learns from a sample of training rows (:func:`training_rows`; crc32 of the id modulo ``mod`` is not ``held``), bounded by
-    SAMPLE, SAMPLE_BYTES and LANGS; predicts every whole text from its text alone. Texts that are null, or have no letter, are
+    Learns every language of the training rows (:func:`training_rows`; crc32 of the id modulo ``mod`` is not ``held``) from a sample
+    bounded by TOTAL, SAMPLE and SAMPLE_BYTES; predicts every whole text from its text alone. Texts that are null, or have no letter, are
     ``und`` with score 0, as are all when nothing could be learned. score is the winner's regression value brought into 0 to 1. Ties
     go to the first language by name. Repeated rows and null ids are predicted like any other; an empty table gives no rows.
-    Nothing is shuffled but the counts of languages; the model, of fixed size, is broadcast.
+    Nothing is shuffled but the counts of languages; the model, which grows with the number of languages only, is broadcast.
     """
     spark = docs.sparkSession
     small_batches(spark)
