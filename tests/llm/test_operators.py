@@ -474,6 +474,20 @@ def test_quotas_are_those_of_highest_quotients(spark):
         assert {r.source: r.quota for r in rows} == {s: quota[s] for s in target}
 
 
+def test_embeddings_of_several_lengths(spark):
+    """Each length is compared, the less common ones too."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for n, d in ((30, 8), (12, 5), (3, 2)):
+        base = rng.normal(size=d)
+        rows += [(len(rows) + k, (base + 0.02 * (k % 6) * rng.normal(size=d)).tolist(), 1) for k in range(n)]
+    links = brute_links(rows)
+    want, root = Counter(x for p in links for x in p), find(len(rows), links)
+    got = {r.id: (r.n_links, r.component) for r in embeddings.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {k: (want[k], min(i for i in range(len(rows)) if root[i] == root[k])) for k in range(len(rows))}
+    assert all(any(len(rows[a][1]) == d for a, _ in links) for d in (8, 5, 2))
+
+
 def test_forest_of_a_concentrated_label():
     """Links of a large label with mean cosine 0.88, found by brute force, share a leaf."""
     rng = np.random.default_rng(8)

@@ -235,36 +235,9 @@ def _leaf_links(table: pa.Table, radius: float) -> pa.Table:
     return pa.table({"a": reps[out], "b": reps[root[out]], "n": links[out]})
 
 
-def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", radius: float = RADIUS, trees: int = TREES) -> DataFrame:
-    """(id, n_links, component, kept), a row for each row of ``vectors``.
-
-    Two vectors are linked if their labels are equal and not null and their cosine, in double precision, is ``radius`` or more; only
-    pairs that share a leaf of a tree are compared. Equal vectors of a label are one class with a representative and a number
-    of copies, so copies are linked through it and never as pairs. n_links counts the other rows linked directly: a pair that
-    shares several leaves counts in the first of them. Out of a leaf come a count and one edge for each vector, not its pairs.
-    component is the smallest id reachable, the row's own included.
-
-    Vectors that are null, empty or zero, or hold null or non-finite components, and rows with a null label, are linked with
-    nothing and are their own component; so are vectors of other lengths than the most common one (ties: the shorter). A row with
-    a null id is linked with nothing and its component is null. Repeated rows count as copies. An empty table gives no rows.
-
-    The trees are fitted on a sample of at most SAMPLE vectors, chosen by a hash; every vector is indexed. There are
-    ``trees`` trees or as many more as the sample shows to be needed (:func:`sized_forest`). A leaf with more than
-    SLICE vectors of a label is cut into slices that meet two by two: nothing is capped.
-    """
-    spark = vectors.sparkSession
-    small_batches(spark)
-    vec = F.transform(F.col(vec_col), lambda v: v.cast("double"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), vec.alias("vec"))
-    bad = F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    good = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("vec") > 0) & ~bad, F.lit(False))
-    # zero, or so small or large that the length has no double
-    length = F.aggregate(F.when(good, F.col("vec")).otherwise(F.array().cast("array<double>")), F.lit(0.0), lambda s, v: s + v * v)
-    rows = rows.withColumn("ok", good & (length > 0) & (length < float("inf")))
-    sizes = rows.where("ok").groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "d").first()
-    if sizes is None:
-        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.lit(True).alias("kept"))
-    dims = sizes.d
+def _linked_classes(rows: DataFrame, dims: int, radius: float, trees: int) -> DataFrame:
+    """(of_label, of_vec, n_links, component): the classes of equal vectors of ``dims`` numbers among the good rows (id, label, vec, ok)."""
+    spark = rows.sparkSession
     classes = write_table(
         rows.where(F.col("ok") & (F.size("vec") == dims)).groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")),
         "vectors",
@@ -300,10 +273,44 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     found = write_table(groups.groupBy("label", "code", "a", "b").applyInArrow(lambda t: _leaf_links(t, radius), "a long, b long, n long"), "links")
     links = found.groupBy("a").agg(F.sum("n").alias("n"))
     roots = connected_components(found.select("a", "b")).select(F.col("node").alias("a"), "root")
-    per_class = classes.join(links, classes.rep == links.a, "left").drop("a").join(roots, F.col("rep") == roots.a, "left").select(
+    return classes.join(links, classes.rep == links.a, "left").drop("a").join(roots, F.col("rep") == roots.a, "left").select(
         F.col("label").alias("of_label"), F.col("vec").alias("of_vec"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component"))
-    fit = F.col("ok") & (F.size("vec") == dims)
-    keyed = rows.withColumns({"k": F.when(fit, F.col("label")), "v": F.when(fit, F.col("vec"))})
+
+
+def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", radius: float = RADIUS, trees: int = TREES) -> DataFrame:
+    """(id, n_links, component, kept), a row for each row of ``vectors``.
+
+    Two vectors are linked if their labels are equal and not null and their cosine, in double precision, is ``radius`` or more; only
+    pairs that share a leaf of a tree are compared. Equal vectors of a label are one class with a representative and a number
+    of copies, so copies are linked through it and never as pairs. n_links counts the other rows linked directly: a pair that
+    shares several leaves counts in the first of them. Out of a leaf come a count and one edge for each vector, not its pairs.
+    component is the smallest id reachable, the row's own included.
+
+    Vectors that are null, empty or zero, or hold null or non-finite components, and rows with a null label, are linked with
+    nothing and are their own component. Vectors of different lengths are never linked; each length has a forest of its own. A row with
+    a null id is linked with nothing and its component is null. Repeated rows count as copies. An empty table gives no rows.
+
+    The trees are fitted on a sample of at most SAMPLE vectors, chosen by a hash; every vector is indexed. There are
+    ``trees`` trees or as many more as the sample shows to be needed (:func:`sized_forest`). A leaf with more than
+    SLICE vectors of a label is cut into slices that meet two by two: nothing is capped.
+    """
+    spark = vectors.sparkSession
+    small_batches(spark)
+    vec = F.transform(F.col(vec_col), lambda v: v.cast("double"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), vec.alias("vec"))
+    bad = F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    good = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("vec") > 0) & ~bad, F.lit(False))
+    # zero, or so small or large that the length has no double
+    length = F.aggregate(F.when(good, F.col("vec")).otherwise(F.array().cast("array<double>")), F.lit(0.0), lambda s, v: s + v * v)
+    rows = rows.withColumn("ok", good & (length > 0) & (length < float("inf")))
+    lengths = [r.d for r in rows.where("ok").select(F.size("vec").alias("d")).distinct().orderBy("d").collect()]
+    if not lengths:
+        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.lit(True).alias("kept"))
+    per_class = _linked_classes(rows, lengths[0], radius, trees)
+    for dims in lengths[1:]:
+        # each is written, so that the plan doesn't grow with the lengths
+        per_class = per_class.unionByName(write_table(_linked_classes(rows, dims, radius, trees), "classes"))
+    keyed = rows.withColumns({"k": F.when(F.col("ok"), F.col("label")), "v": F.when(F.col("ok"), F.col("vec"))})
     out = keyed.join(per_class, (F.col("k") == F.col("of_label")) & (F.col("v") == F.col("of_vec")), "left")
     component = F.coalesce("component", "id")
     return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
