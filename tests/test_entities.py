@@ -41,6 +41,18 @@ def test_hints(spark):
             assert got[text] == want, text
 
 
+def test_hints_run_each_pattern_once_and_keep_columns(spark):
+    rows = spark.createDataFrame([(i, t, "mine", "own") for i, t in enumerate(HINTS)], "id int, text string, _h string, _EMAIL string")
+    every = E.with_hints(rows)
+    assert every.columns == ["id", "text", "_h", "_EMAIL", "hints"] and {(r._h, r._EMAIL) for r in every.collect()} == {("mine", "own")}
+    plan = E.hint_rows(every, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("regexp_extract_all") <= len(E.KINDS) + 1
+    # one kind alone gives what it gives among all
+    for kind in E.KINDS:
+        alone = {r.text: [(h.matched, h.strong) for h in r.hints] for r in E.with_hints(rows, kinds=(kind,)).collect()}
+        assert alone == {r.text: [(h.matched, h.strong) for h in r.hints if h.kind == kind] for r in every.collect()}
+
+
 def test_promotion(spark):
     rows = spark.createDataFrame([("Date of Birth", "12/11/1990"), ("Invoice date", "12/11/1990"), ("Closing Balance", "Rs 10"), ("Total", "Rs 10"), (None, "DOB 12/11/1990"), ("जन्म", "12/11/1990")], "p string, text string")
     out = E.with_hints(rows).select("p", E.has_strong(E.promoted(F.col("hints"), F.col("p"), F.col("text"))).alias("s")).collect()

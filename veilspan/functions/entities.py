@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import digits, is_blank, trimmed
+from .text import digits, is_blank, let, trimmed
 
 # Patterns that must match the same strings as the system this engine stands in for.
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
@@ -51,33 +51,77 @@ def mask_count(m: Column) -> Column:
     return F.length(F.regexp_replace(m, f"[^{MASKS}]", ""))
 
 
-def with_hints(spans: DataFrame, text: str = "text", out: str = "hints") -> DataFrame:
-    """Adds ``hints``: the identifiers of each line in order of detection, the first of each kind and match.
+#: Kinds that a kind's detection looks at besides its own pattern.
+_EARLY = ("EMAIL", "UPI", "IFSC", "URL", "IP", "PAN", "PASSPORT", "AADHAAR", "DATE", "MONEY", "ACCOUNT", "CARD")
+_NEEDS = {"UPI": ("EMAIL",), "PHONE": _EARLY, "PIN": (*_EARLY, "PHONE")}
+_PATTERNS = {"EMAIL": EMAIL, "UPI": UPI, "IFSC": IFSC, "URL": URL, "IP": IP, "PAN": PAN, "PASSPORT": PASSPORT, "AADHAAR": AADHAAR, "DATE": DATE, "MONEY": MONEY,
+             "ACCOUNT": ACCOUNT, "CARD": CARD, "MASKED": MASKED_CARD, "PHONE": PHONE, "PIN": PIN}
 
-    A narrow projection in steps; null and blank lines have none. Later kinds look at earlier ones: a UPI handle inside an e-mail
-    address, a phone number that shares its digits with an earlier match and a PIN inside one are dropped.
+
+def hints_of(text: Column, kinds: tuple[str, ...] = tuple(KINDS)) -> Column:
+    """The identifiers of a line in order of detection, the first of each kind and match; null and blank lines have none.
+
+    Later kinds look at earlier ones: a UPI handle inside an e-mail address, a phone number that shares its digits with an earlier
+    match and a PIN inside one are dropped. Only the kinds asked for, and those that they look at, are searched. Every step is bound
+    as a lambda variable, so a pattern is in the plan once and runs once a line; it runs at all only where the line holds what any
+    match has (a digit, an @, a link's start).
     """
-    t = F.when(~is_blank(F.col(text)), F.col(text)).otherwise(F.lit(""))
-    first = {k: find_all(t, p) for k, p in (("EMAIL", EMAIL), ("UPI", UPI), ("IFSC", IFSC), ("URL", URL), ("IP", IP), ("PAN", PAN), ("PASSPORT", PASSPORT),
-                                            ("AADHAAR", AADHAAR), ("DATE", DATE), ("MONEY", MONEY), ("CARD", CARD), ("MASKED", MASKED_CARD), ("PHONE", PHONE), ("PIN", PIN))}
-    first["ACCOUNT"] = F.filter(find_all(t, ACCOUNT, 1), lambda m: m.rlike(r"\d"))
-    df = spans.withColumns({f"_{k}": c for k, c in first.items()})
-    df = df.withColumns({
-        "_UPI": F.filter("_UPI", lambda m: ~F.exists("_EMAIL", lambda e: F.contains(e, m))),
-        "_CARD": F.transform(F.filter("_CARD", lambda m: F.length(digits(m)).between(13, 19)), trimmed),
-        "_MASKED": F.filter(F.transform("_MASKED", trimmed), lambda m: (F.length(digits(m)) >= 4) & (mask_count(m) >= 2)),
-        "_PHONE": F.filter("_PHONE", lambda m: F.length(digits(m)).between(7, 13)),
-    })
-    df = df.withColumn("_MASKED", F.filter("_MASKED", lambda m: ~F.exists("_CARD", lambda c: F.contains(c, m))))
-    strong = {"DATE": False, "MONEY": False, "CARD": lambda m: F.call_function("luhn_check", digits(m))}
-    early = [_as_hints(F.col(f"_{k}"), k, strong.get(k, True)) for k in ("EMAIL", "UPI", "IFSC", "URL", "IP", "PAN", "PASSPORT", "AADHAAR", "DATE", "MONEY", "ACCOUNT", "CARD")]
-    df = df.withColumn("_h", F.concat(*early, _as_hints(F.col("_MASKED"), "CARD", True)))
-    df = df.withColumn("_claimed", F.filter(F.transform("_h", lambda h: digits(h.matched)), lambda d: F.length(d) > 0))
-    free = F.filter("_PHONE", lambda m: ~F.exists("_claimed", lambda c: F.contains(c, digits(m)) | F.contains(digits(m), c)))
-    df = df.withColumn("_h", F.concat("_h", _as_hints(F.transform(free, trimmed), "PHONE", True)))
-    df = df.withColumn("_h", F.concat("_h", _as_hints(F.filter("_PIN", lambda m: ~F.exists("_h", lambda h: F.contains(h.matched, m))), "PIN", False)))
-    new = F.filter("_h", lambda h, i: ~F.exists(F.slice("_h", F.lit(1), i), lambda g: (g.kind == h.kind) & (g.matched == h.matched)))
-    return df.withColumn(out, F.when(F.size("_h") > 1, new).otherwise(F.col("_h"))).drop("_h", "_claimed", *[f"_{k}" for k in first])
+    search = {k for kind in kinds for k in (kind, *_NEEDS.get(kind, ()))}
+    patterns = {k: p for k, p in _PATTERNS.items() if k in search or (k == "MASKED" and "CARD" in search)}
+    none = F.array().cast("array<string>")
+
+    def candidates(line: Column) -> Column:
+        t, low = line["t"], F.lower(line["t"])
+        has = {"EMAIL": line["at"], "UPI": line["at"], "URL": F.contains(low, F.lit("://")) | F.contains(low, F.lit("www."))}
+        return F.struct(*[F.when(has.get(k, line["digit"]), find_all(t, p, int(k == "ACCOUNT"))).otherwise(none).alias(k) for k, p in patterns.items()])
+
+    def cards(found: Column) -> Column:
+        return F.transform(F.filter(found["CARD"], lambda m: F.length(digits(m)).between(13, 19)), trimmed)
+
+    def early(found: Column, card: Column) -> Column:
+        masked = lambda m: (F.length(digits(m)) >= 4) & (mask_count(m) >= 2) & ~F.exists(card, lambda c: F.contains(c, m))
+        own = {
+            "UPI": lambda: F.filter(found["UPI"], lambda m: ~F.exists(found["EMAIL"], lambda e: F.contains(e, m))),
+            "ACCOUNT": lambda: F.filter(found["ACCOUNT"], lambda m: m.rlike(r"\d")), "CARD": lambda: card,
+        }
+        strong = {"DATE": False, "MONEY": False, "CARD": lambda m: F.call_function("luhn_check", digits(m))}
+        parts = [_as_hints(own[k]() if k in own else found[k], k, strong.get(k, True)) for k in _EARLY if k in search]
+        if "CARD" in search:
+            parts.append(_as_hints(F.filter(F.transform(found["MASKED"], trimmed), masked), "CARD", True))
+        return F.concat(*parts) if parts else F.array().cast(HINTS)
+
+    def with_phones(found: Column, hints: Column) -> Column:
+        if "PHONE" not in search:
+            return hints
+        claimed = F.filter(F.transform(hints, lambda h: digits(h.matched)), lambda d: F.length(d) > 0)
+
+        def free(claimed: Column) -> Column:
+            taken = lambda d: F.exists(claimed, lambda c: F.contains(c, d) | F.contains(d, c))
+            return F.filter(found["PHONE"], lambda m: let(digits(m), lambda d: F.length(d).between(7, 13) & ~taken(d)))
+
+        return F.concat(hints, _as_hints(F.transform(let(claimed, free), trimmed), "PHONE", True))
+
+    def with_pins(found: Column, hints: Column) -> Column:
+        if "PIN" not in search:
+            return hints
+        return F.concat(hints, _as_hints(F.filter(found["PIN"], lambda m: ~F.exists(hints, lambda h: F.contains(h.matched, m))), "PIN", False))
+
+    def first_ones(hints: Column) -> Column:
+        new = F.filter(hints, lambda h, i: ~F.exists(F.slice(hints, F.lit(1), i), lambda g: (g.kind == h.kind) & (g.matched == h.matched)))
+        every = F.when(F.size(hints) > 1, new).otherwise(hints)
+        return every if set(kinds) >= search else F.filter(every, lambda h: h.kind.isin(*kinds))
+
+    def among(found: Column) -> Column:
+        return let(cards(found) if "CARD" in search else none, lambda card: let(early(found, card), lambda e: let(with_phones(found, e), lambda p: let(with_pins(found, p), first_ones))))
+
+    line = F.when(~is_blank(text), text).otherwise(F.lit(""))
+    parts = lambda t: F.struct(t.alias("t"), F.contains(t, F.lit("@")).alias("at"), t.rlike(r"\d").alias("digit"))
+    return let(line, lambda t: let(parts(t), lambda x: let(candidates(x), among)))
+
+
+def with_hints(spans: DataFrame, text: str = "text", out: str = "hints", kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
+    """Adds :func:`hints_of` as one expression; no other column is added or lost."""
+    return spans.withColumn(out, hints_of(F.col(text), kinds))
 
 
 def promoted(hints: Column, previous: Column, line: Column) -> Column:
@@ -119,6 +163,10 @@ def kind_label(kind: Column) -> Column:
 
 
 def hint_rows(spans: DataFrame, *keys: str) -> DataFrame:
-    """Long form: (keys, seq, kind, matched, strong), seq from 1 in order of detection."""
-    return spans.select(*keys, F.posexplode("hints").alias("_p", "_h")).select(
+    """Long form: (keys, seq, kind, matched, strong), seq from 1 in order of detection.
+
+    The outer explode and a test of its output keep the optimiser from deriving a filter on ``hints`` itself, which it would push
+    down as a second copy of the whole detection.
+    """
+    return spans.select(*keys, F.posexplode_outer("hints").alias("_p", "_h")).where("_h IS NOT NULL").select(
         *keys, (F.col("_p") + 1).alias("seq"), F.col("_h.kind").alias("kind"), F.col("_h.matched").alias("matched"), F.col("_h.strong").alias("strong"))

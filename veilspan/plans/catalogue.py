@@ -97,12 +97,12 @@ def _mod(n: int, *cols: str):
 @query(f"""WITH {DOC_LINES}, m AS (SELECT page_id, pos, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{{2,}}'))) AS e FROM lines)
 SELECT page_id AS doc_id, count(*)::BIGINT AS n_hits, count(DISTINCT e)::BIGINT AS n_emails, min(e) AS first_email FROM m GROUP BY 1""")
 def email_hits_per_doc(spark, sf_dir):
-    hits = E.hint_rows(E.with_hints(S.document_spans(spark, sf_dir)), "page_id", "pos").where("kind = 'EMAIL'")
+    hits = E.hint_rows(E.with_hints(S.document_spans(spark, sf_dir), kinds=("EMAIL",)), "page_id", "pos")
     return hits.groupBy(F.col("page_id").alias("doc_id")).agg(F.count("*").alias("n_hits"), F.count_distinct("matched").alias("n_emails"), F.min("matched").alias("first_email"))
 
 
 def _hits(spans: DataFrame, kind: str) -> DataFrame:
-    return E.hint_rows(E.with_hints(spans), "page_id", "pos").where(F.col("kind") == kind).select("page_id", "pos", "matched", "strong")
+    return E.hint_rows(E.with_hints(spans, kinds=(kind,)), "page_id", "pos").select("page_id", "pos", "matched", "strong")
 
 
 @query(f"""WITH {DOC_LINES}, m AS (SELECT page_id, pos, unnest(list_distinct(regexp_extract_all(text, '\\b(?:\\d[ \\-]?){{12,18}}\\d\\b'))) AS matched FROM lines),
