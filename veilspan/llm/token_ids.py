@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, write_table
+from .common import drop_table, small_batches, write_table
 
 #: Id that ends each document; ids of one segment of a file; distinct words that a worker remembers.
 END, SEGMENT, CACHE = 2, 1 << 20, 1_000_000
@@ -61,10 +60,10 @@ class Encoder:
 
     _MARKS = ".,!?;:%$&*#)]}|"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str = "<u4"):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
+        self.tok, self.kind = Tokenizer.from_file(path), kind
         self.model = self.tok.model
         self.cache: dict[str, bytes] = {}
         probe = "Ab c,d  e\n\nf.'s x\n1 2 l'l é́ ́ "
@@ -77,13 +76,13 @@ class Encoder:
         self.by_word = self.cuts and all(self._word(w) == self._whole([w])[0] for w in words)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _word(self, word: str) -> bytes:
         """Ids of a lower-case word of letters only: the model alone decides, as the pattern keeps such a word whole."""
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.visible)
-        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        return np.array([t.id for t in self.model.tokenize(word)], self.kind).tobytes()
 
     def _learn(self, words: set[str]) -> None:
         """A run of letters and the marks after it are separate to the pattern; only an apostrophe may bind both."""
@@ -115,7 +114,7 @@ class Encoder:
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        """Ids of each text as the bytes of numbers of the given kind."""
         if not self.cuts:
             return self._whole(texts)
         parts = [t.replace("\n", " ").split(" ") for t in texts]
@@ -138,88 +137,125 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kind: str) -> Encoder:
     """One for a worker, which keeps it from task to task."""
-    if path not in _encoders:
+    if (path, kind) not in _encoders:
         _encoders.clear()
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[path, kind] = Encoder(path, kind)
+    return _encoders[path, kind]
 
 
 # ---- files -------------------------------------------------------------------------------------------------------
 
-_FILE = "part int, seq int, doc_ids binary, lengths binary, n_ids long, control binary, data binary"
+_FILE = "part int, seq int, n_null int, doc_ids binary, lengths binary, n_ids long, control binary, data binary"
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """Writes all documents' ids in ascending order of id; returns the files and the ids by rank (most frequent first).
+def _binary(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all rows end to end, how many each row has) of a binary column."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return data.view(kind), np.diff(at) // np.dtype(kind).itemsize
 
-    Each row of the files is a segment: about SEGMENT ids of neighbouring documents as ranks, coded by :func:`encode_values`, with the
-    documents' ids (64 bits) and lengths (32 bits) beside. Segments are in order of (part, seq). Frequent ids take one byte. The
-    container is Parquet in the shared folder, which executors can write on any store. Ids and counts of the vocabulary (bounded) reach the
-    driver; documents are tokenized where they are and then sorted by range, by id, then by their ids' checksum.
+
+def _tokens(docs: DataFrame, tokenizer_path: str, end: int, id_col: str, text_col: str) -> tuple[DataFrame, str, int]:
+    """(table, kind, size): the table holds each document's ids (id, nth, ids) and a row of counts for each task (ids null).
+
+    Ids take two bytes if the vocabulary allows. Counts are made of the ids at hand, so nothing is read again for them; they are a
+    column of their own, which a scan for counts reads alone.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    last = np.array([end], "<u4").tobytes()
+    from tokenizers import Tokenizer
+
+    size = max(end, Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True)) + 1
+    kind = "<u2" if size <= 1 << 16 else "<u4"
+    last = np.array([end], kind).tobytes()
+    names = ["id", "nth", "ids", "counts"]
 
     def tokenize(batches):
-        enc = encoder(tokenizer_path)
+        enc, total, nth = encoder(tokenizer_path, kind), np.zeros(size, np.int64), 0
         for b in batches:
-            ids, out = b.column(0), []
-            for one in enc.encode(b.column(1).to_pylist()):
-                control, data = encode_values(np.frombuffer(one + last, "<u4"))
-                out.append((len(one) // 4 + 1, control, data))
-            n, control, data = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["id", "n", "control", "data"])
+            found = [one + last for one in enc.encode(b.column(1).to_pylist())]
+            total += np.bincount(np.frombuffer(b"".join(found), kind), minlength=size)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.arange(nth, nth + len(found))), pa.array(found, pa.binary()), pa.nulls(len(found), pa.binary())], names)
+            nth += len(found)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()])], names)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    return write_table(rows.mapInArrow(tokenize, "id long, nth long, ids binary, counts binary"), "ids"), kind, size
 
-    tokens = write_table(rows.mapInArrow(tokenize, "id long, n int, control binary, data binary"), "ids")
 
-    def count(batches):
-        total = np.zeros(0, np.int64)
+def _ranks(tokens: DataFrame, size: int) -> np.ndarray:
+    """The ids that occur, most frequent first; ties by id. Sums of the tasks' counts, of which one row reaches the driver."""
+
+    def add(batches):
+        total = np.zeros(size, np.int64)
         for b in batches:
-            for n, c, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                own = np.bincount(decode_values(c, d, n))
-                if len(own) > len(total):
-                    total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
-                total[: len(own)] += own
+            for one in b.column(0):
+                total += np.frombuffer(one.as_py(), "<i8")
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["token", "c"])
 
-    counts = tokens.select("n", "control", "data").mapInArrow(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).collect()
-    by_rank = np.array([r.token for r in sorted(counts, key=lambda r: (-r.c, r.token))], np.int64)
-    rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
+    counts = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(add, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).collect()
+    return np.array([r.token for r in sorted(counts, key=lambda r: (-r.c, r.token))], np.int64)
+
+
+def write_ids(docs: DataFrame, tokenizer_path: str, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
+    """Writes all documents' ids in ascending order of id; returns the files and the ids by rank (most frequent first).
+
+    Each row of the files is a segment: about SEGMENT ids of neighbouring documents as ranks, coded by :func:`encode_values`, with the
+    documents' ids (64 bits) and lengths (32 bits) beside; the first ``n_null`` of them have no id. Segments are in order of (part,
+    seq). Frequent ids take one byte. The container is Parquet in the shared folder, which executors can write on any store. Counts of
+    the vocabulary (bounded) reach the driver; documents are tokenized where they are and then sorted by range, by id (null first),
+    checksum of the ids and place, so that rows with the same id, or equal ones, can lie in several ranges.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    tokens, kind, size = _tokens(docs, tokenizer_path, end, id_col, text_col)
+    by_rank = _ranks(tokens, size)
+    rank = np.zeros(size, np.uint32)
     rank[by_rank] = np.arange(len(by_rank))
-    ranks = spark.sparkContext.broadcast(rank)
+    ranks, room = spark.sparkContext.broadcast(rank), SEGMENT
 
     def segments(batches):
         part, seq, known = TaskContext.get().partitionId(), 0, ranks.value
-        ids, sizes, values, held = [], [], [], 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        have = 0
 
         def segment():
-            control, data = encode_values(np.concatenate(values))
+            ids, null, sizes, values = (np.concatenate(c) for c in zip(*held))
+            control, data = encode_values(values)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()]), pa.array([np.array(sizes, "<u4").tobytes()]),
-                 pa.array([held], pa.int64()), pa.array([control]), pa.array([data])], ["part", "seq", "doc_ids", "lengths", "n_ids", "control", "data"])
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([int(null.sum())], pa.int32()), pa.array([ids.astype("<i8").tobytes()]),
+                 pa.array([sizes.astype("<u4").tobytes()]), pa.array([len(values)], pa.int64()), pa.array([control]), pa.array([data])],
+                ["part", "seq", "n_null", "doc_ids", "lengths", "n_ids", "control", "data"])
 
         for b in batches:
-            for i, n, c, d in zip(*(b.column(k).to_pylist() for k in range(4))):
-                if held and held + n > SEGMENT:
+            flat, sizes = _binary(b.column(1), kind)
+            null = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            ids, values, at = b.column(0).fill_null(0).to_numpy(), known[flat], np.concatenate([[0], np.cumsum(sizes)])
+            lo = 0
+            while lo < len(ids):
+                # documents that the segment has room for, and one at least where it is empty
+                hi = int(np.searchsorted(at, at[lo] + room - have, "right")) - 1
+                hi = min(len(ids), max(hi, lo if have else lo + 1))
+                if hi > lo:
+                    held.append((ids[lo:hi], null[lo:hi], sizes[lo:hi], values[at[lo] : at[hi]]))
+                    have += int(at[hi] - at[lo])
+                if hi < len(ids):
                     yield segment()
-                    seq, held = seq + 1, 0
-                    ids.clear(), sizes.clear(), values.clear()
-                ids.append(i), sizes.append(n), values.append(known[decode_values(c, d, n)])
-                held += n
+                    held, have, seq = [], 0, seq + 1
+                lo = hi
         if held:
             yield segment()
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = tokens.where("id IS NOT NULL").withColumn("tie", F.crc32(F.concat("control", "data"))).repartitionByRange(n, "id", "tie").sortWithinPartitions("id", "tie")
-    return write_table(ordered.select("id", "n", "control", "data").mapInArrow(segments, _FILE), "token-files"), by_rank
+    ordered = tokens.where("ids IS NOT NULL").withColumn("tie", F.crc32("ids")).repartitionByRange(n, "id", "tie", "nth").sortWithinPartitions("id", "tie", "nth")
+    files = write_table(ordered.select("id", "ids").mapInArrow(segments, _FILE), "token-files")
+    drop_table(tokens)
+    return files, by_rank
 
 
 def read_ids(files: DataFrame, by_rank: np.ndarray) -> DataFrame:
@@ -240,24 +276,25 @@ def read_ids(files: DataFrame, by_rank: np.ndarray) -> DataFrame:
         known = ids.value
         for b in batches:
             for k in range(b.num_rows):
-                doc_ids, lengths, n, control, data, start = (b.column(c)[k].as_py() for c in range(6))
+                n_null, doc_ids, lengths, n, control, data, start = (b.column(c)[k].as_py() for c in range(7))
                 sizes = np.frombuffer(lengths, "<u4").astype(np.int64)
                 ends = np.cumsum(sizes)
-                raw = known[decode_values(control, data, n)].tobytes()
-                bounds = np.concatenate([[0], ends * 4]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(doc_ids, "<i8")), pa.array(start + ends - sizes), pa.array(sizes),
-                     pa.array([raw[s:e] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())], ["id", "start", "n_tokens", "ids"])
+                raw = known[decode_values(control, data, n)]
+                at = np.concatenate([[0], ends]) * 4
+                texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)])
+                own = pa.array(np.frombuffer(doc_ids, "<i8"), mask=np.arange(len(sizes)) < n_null)
+                yield pa.RecordBatch.from_arrays([own, pa.array(start + ends - sizes), pa.array(sizes), texts.cast(pa.binary())], ["id", "start", "n_tokens", "ids"])
 
-    return files.join(heads, ["part", "seq"]).select("doc_ids", "lengths", "n_ids", "control", "data", "start").mapInArrow(
+    return files.join(heads, ["part", "seq"]).select("n_null", "doc_ids", "lengths", "n_ids", "control", "data", "start").mapInArrow(
         decode, "id long, start long, n_tokens long, ids binary")
 
 
 def token_digest(docs: DataFrame, tokenizer_path: str, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, n_tokens, ids_crc32): what the files hold of each document, read back.
 
-    Null and empty texts have the end id alone. Rows with a null id have no place in the order and are left out of the files. Rows with the same
-    id stand next to each other, in order of their ids' checksum. An empty table gives no rows; other columns are ignored.
+    Null and empty texts have the end id alone. Rows with a null id come first. Rows with the same id stand next to each other, in
+    order of their ids' checksum; repeated rows count each. A very long text is one document of a segment of its own. An empty table
+    gives no rows; other columns are ignored.
     """
     files, by_rank = write_ids(docs, tokenizer_path, end, id_col, text_col)
     return read_ids(files, by_rank).select("id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
