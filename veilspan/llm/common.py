@@ -16,36 +16,85 @@ BLOCK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``; in tests, where it is unset, one of our own."""
+    """The folder that all executors see: ``spark.checkpoint.dir``. Where it is unset, a session on one machine gets a folder of its
+    own; on a cluster that is an error, as executors don't see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='veilspan-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Paths of the tables written so far that are still there, oldest first.
+_written: list[str] = []
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` as Parquet in the shared folder and reads it back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Cuts lineage: writes ``df`` as Parquet in the shared folder and reads it back. The table goes when the application ends, if
+    :func:`drop_table` or :func:`drop_tables_since` doesn't remove it before."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._veilspan_path = path
+    _written.append(path)
+    store, at = _store(spark, path)
+    store.deleteOnExit(at)
     return out
 
 
+def _store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    store, at = _store(spark, path)
+    store.delete(at, True)
+    if path in _written:
+        _written.remove(path)
+
+
 def drop_table(df: DataFrame) -> None:
     """Removes a table of :func:`write_table` that nothing reads any more."""
     path = getattr(df, "_veilspan_path", None)
     if path:
-        jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(hadoop).delete(at, True)
+        _remove(df.sparkSession, path)
+
+
+def tables_now() -> int:
+    """A mark for :func:`drop_tables_since`."""
+    return len(_written)
+
+
+def drop_tables_since(mark: int, kept: DataFrame) -> None:
+    """Removes the tables written since the mark, ``kept`` apart, once its rows are on disk."""
+    for path in _written[mark:]:
+        if path != getattr(kept, "_veilspan_path", None):
+            _remove(kept.sparkSession, path)
+
+
+def placed(docs: DataFrame) -> tuple[DataFrame, tuple[str, str]]:
+    """``docs`` with two more columns of longs, and their names: a place that no two rows share and that is the same on every read.
+
+    It is the file and the row's number in it; a table that isn't read straight from files is written first.
+    """
+    names = tuple(f"{x}{'_' * k}" for x in ("_file", "_nth") for k in [next(k for k in range(99) if not {f"_file{'_' * k}", f"_nth{'_' * k}"} & set(docs.columns))])
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or "_metadata" in docs.columns:
+        docs = write_table(docs, "rows")
+    at = docs.metadataColumn("_metadata")
+    return docs.select("*", F.xxhash64(at["file_path"]).alias(names[0]), at["row_index"].alias(names[1])), names
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, as one row can hold a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Arrow batches of few rows, as one row can hold a very long text. Arrow has no such setting for a single query; a session that
+    has smaller batches keeps them."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def fold(col: str, mod: int) -> Column:
@@ -53,37 +102,43 @@ def fold(col: str, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
-def row_hash(df: DataFrame) -> Column:
+def row_hash(columns: list[str]) -> Column:
     """64-bit hash of a row's columns and of which of them are null."""
-    return F.xxhash64(*[x for c in df.columns for x in (df[c].isNull(), df[c])])
-
+    return F.xxhash64(*[x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
 
-def unit_hash(seed: str, *cols: str) -> Column:
-    """A draw from (0, 1] that depends on the seed and the columns only."""
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
-    return (F.shiftrightunsigned(h, 11) + F.lit(1)) * F.lit(2.0**-53)
 
+def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, per_class: int, budget: int, seed: str) -> list[tuple[str, int]]:
+    """Labelled training texts, whole: of each class the first ``per_class`` rows by a seeded hash of id and text, until their texts hold
+    half of ``budget`` bytes, and one at least.
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, per_class: int, max_bytes: int, seed: str) -> list[tuple[str, int]]:
-    """At most about ``per_class`` labelled training texts of each class, chosen by a seeded hash of doc_id.
-
-    Only texts of at most ``max_bytes`` are taken, whole. Rows that share an id count the highest label; the result is cut at
-    four times ``per_class`` rows, so that a repeated id can't flood the driver.
+    The bound is on rows and on their sum, so long texts are learned from as short ones are; only a text that alone is over a
+    sixteenth of the budget is passed over where it doesn't fit any more, and shorter ones after it are still taken. Rows that share
+    an id count the highest label; equal texts count once. The first rows by hash are found by a partial top-k of hashes and sizes,
+    so only texts that are taken leave the executors, and reruns take the same ones.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", mod) != held))
-        .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+        .groupBy("doc_id").agg((F.max(F.col(label).cast("int")) > 0).alias("y"))
     )
-    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).limit(16).collect()}
-    if not counts:
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", mod) != held))
+    rows = rows.select("doc_id", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("u"), F.octet_length("text").alias("size"))
+    keys = rows.select("doc_id", "u", "size").join(known, "doc_id").select("y", "u", "size").distinct()
+    taken = []
+    for y in (False, True):
+        own = keys.where(F.col("y") == y).orderBy("u").limit(per_class).collect()
+        held_bytes = 0
+        for r in own:
+            if taken and taken[-1][0] == y and held_bytes + r["size"] > budget // 2:
+                if r["size"] > budget // 16:
+                    continue
+                break
+            taken.append((y, r["u"]))
+            held_bytes += r["size"]
+    if not taken:
         return []
-    share = F.coalesce(*[F.when(F.col("y") == y, F.lit(min(1.0, per_class / n))) for y, n in counts.items()])
-    ids = known.where(unit_hash(seed, "doc_id") <= share).limit(3 * per_class * len(counts))
-    rows = (
-        docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes) & (fold("doc_id", mod) != held))
-        .join(F.broadcast(ids), "doc_id").limit(4 * per_class * len(counts)).collect()
-    )
-    return sorted({(r["text"], r["y"]) for r in rows})
+    wanted = docs.sparkSession.createDataFrame(taken, "y boolean, u long")
+    found = rows.join(F.broadcast(wanted), "u").select("text", "y").dropDuplicates().collect()
+    return sorted({(r["text"], int(r["y"])) for r in found})
 
 
 # ---- blocks of text as byte arrays -------------------------------------------------------------------------------
@@ -101,7 +156,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int, base: int = _BASE, name: str = "up") -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + 1024)
+        size = max(n, 1 << 20, 2 * len(have) if have is not None else 0)
         have = np.full(size, base, np.uint64)
         have[0] = 1
         _powers[name] = have = np.multiply.accumulate(have)

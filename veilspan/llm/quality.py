@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import Block, blocks, fold, sample_labelled, small_batches
 
-#: Labelled training documents of each class, of at most so many bytes each; hashed words; rank of the interactions.
-SAMPLE, SAMPLE_BYTES, BITS, RANK = 1800, 1 << 15, 14, 8
+#: Labelled training documents of each class, and bytes of their texts together; bits of a hashed word; rank of the interactions.
+SAMPLE, SAMPLE_BYTES, BITS, RANK = 2500, 16 << 20, 14, 8
 EPOCHS, RATE, RIDGE = 12, 0.05, 1e-4
 THRESHOLD = 0.5
 STATS = ("words", "bytes", "lines", "word_length", "distinct", "repeats", "top_word", "punctuation", "digits", "capitals", "other", "long_words", "stops", "line_length")
@@ -67,7 +67,7 @@ def describe(block: Block) -> Rows:
         np.bincount(doc, again, n) / safe, top / safe, kinds[4], kinds[2], kinds[1], kinds[3],
         np.bincount(doc, e - s > 20, n) / safe, (stop[block.at[1:]] - stop[block.at[:-1]]) / safe, np.log1p(words / lines),
     ], axis=1)
-    return Rows(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]), feature, value, stats)
+    return Rows(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]), feature.astype(np.int32), value.astype(np.float32), stats)
 
 
 @dataclass
@@ -88,7 +88,7 @@ class Machine:
         feature = np.concatenate([r.feature, np.tile((1 << BITS) + np.arange(k), n)])
         value = np.concatenate([r.value, z.ravel()])
         order = np.argsort(row, kind="stable")
-        return row[order], feature[order], value[order]
+        return row[order].astype(np.int32), feature[order].astype(np.int32), value[order].astype(np.float32)
 
     def logit(self, row: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """w0 + sum w x + 1/2 sum_f ((sum v x)^2 - sum (v x)^2): linear in the number of features; also sum v x [rows, rank]."""
@@ -145,8 +145,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """(id, held_out, score, predicted), a row for each row of ``docs``.
 
     The machine's features are the text's hashed words and its structure and size (STATS); ids, labels, languages and sources are
-    no inputs. It learns from a sample of labelled training rows, bounded by SAMPLE and SAMPLE_BYTES, and is broadcast; whole texts
-    are scored where they are, without a shuffle. Null and empty texts are scored as texts without words. Without labels of both
+    no inputs. It learns from a sample of labelled training rows, bounded by SAMPLE rows a class and SAMPLE_BYTES of text together,
+    whatever a text's length, and is broadcast; whole texts are scored where they are, without a shuffle. Null and empty texts are scored as texts without words. Without labels of both
     classes every score is 0. Repeated rows and null ids are scored like any other; an empty table gives no rows; other columns
     are ignored.
     """

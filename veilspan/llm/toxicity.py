@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,18 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Block, blocks, fold, sample_labelled, small_batches
+from .common import Block, blocks, fold, mix, sample_labelled, small_batches
 from .langid import letters
 
-#: Labelled training documents of each class, of at most so many bytes each.
-SAMPLE, SAMPLE_BYTES = 1800, 1 << 15
-#: A word or word start counts as a feature from so many toxic training documents on (or two thirds of a hundredth of them, if
-#: more), and if its share among them is so many times that among the others; the most telling FEATURES are kept.
-LEAST, LIFT, FEATURES = 4, 20.0, 256
-#: Sentences of more tokens are tagged, but not trained on.
-TRAIN_TOKENS = 100
-#: Bytes of the word starts that are features besides whole words.
-STARTS = (4, 6, 8)
+#: Labelled training documents of each class, and bytes of their texts together.
+SAMPLE, SAMPLE_BYTES = 2500, 16 << 20
+#: A feature counts from so many toxic training documents on (or two thirds of a hundredth of them, if more), and if its share among
+#: them is so many times that among the others; the most telling FEATURES are kept.
+LEAST, LIFT, FEATURES = 3, 20.0, 1024
+#: Training cuts longer sentences into chains of so many tokens; scoring takes them whole.
+CHAIN = 100
+#: Bytes of the word starts and ends that are features besides whole words and pairs of neighbouring words.
+STARTS, END = (4, 6, 8), 4
 THRESHOLD = 0.7
 #: A token is part of a reported span from this marginal on.
 SPAN = 0.5
@@ -36,7 +37,7 @@ class Tokens:
     end: np.ndarray
     doc: np.ndarray
     sentence: np.ndarray  # number, ascending
-    hashes: list[np.ndarray]  # of whole words, then of their starts (0 where the word is shorter)
+    hashes: list[np.ndarray]  # of whole words, their starts, their ends and pairs with the word before; 0 for none
 
 
 _STOP = np.zeros(256, bool)
@@ -51,25 +52,33 @@ def tokenize(block: Block) -> Tokens:
     plain = Block(letters(block), block.at, lower=False)
     s, e = plain.tokens(_WHITE)
     sums, doc = plain.prefix(), block.doc_of(s)
+    new = np.ones(len(s), bool)
+    if len(s):
+        new[1:] = (doc[1:] != doc[:-1]) | (stops[s[1:]] != stops[s[:-1]])
     hashes = [plain.hashes(s, e, sums)]
     for n in STARTS:
         h = np.zeros(len(s), np.uint64)
         long = np.flatnonzero(e - s >= n)
         h[long] = plain.hashes(s[long], s[long] + n, sums) ^ np.uint64(n)
         hashes.append(h)
-    new = np.ones(len(s), bool)
-    if len(s):
-        new[1:] = (doc[1:] != doc[:-1]) | (stops[s[1:]] != stops[s[:-1]])
+    h = np.zeros(len(s), np.uint64)
+    long = np.flatnonzero(e - s > END)
+    h[long] = plain.hashes(e[long] - END, e[long], sums) ^ np.uint64(1 << 20)
+    hashes.append(h)
+    h = np.zeros(len(s), np.uint64)
+    pair = np.flatnonzero(~new)
+    h[pair] = mix(hashes[0][pair - 1] * np.uint64(0x9E3779B97F4A7C15) + hashes[0][pair])
+    hashes.append(h)
     return Tokens(s, e, doc, np.cumsum(new) - 1, hashes)
 
 
 @dataclass
 class Crf:
-    """Two labels, 0 plain and 1 toxic. Emission: bias + the token's feature + those of its neighbours; transition: 2 x 2."""
+    """Two labels, 0 plain and 1 toxic. Emission: bias + the token's features + those of its neighbours; transition: 2 x 2."""
 
-    keys: np.ndarray  # hashes of the features, ascending
-    own: np.ndarray  # weight of a token's most telling feature; the last for none
-    side: np.ndarray  # weight of a neighbour's
+    keys: np.ndarray  # hashes of the features
+    own: np.ndarray  # weights of a token's own features
+    side: np.ndarray  # weights of its neighbours' features
     bias: float
     step: np.ndarray  # [from, to]
     doc: np.ndarray  # weights of the document's features, then their intercept
@@ -93,14 +102,16 @@ class Crf:
             self._plain = ahead, behind, z
         return self._plain
 
-    def features(self, t: Tokens) -> np.ndarray:
-        """Number of each token's most telling feature (the lowest); ``len(keys)`` for none."""
-        out = np.full(len(t.start), len(self.keys), np.int64)
+    def features(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """(token, number of the feature) of all features that tokens have, each once a token, by token."""
+        tokens, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for h in t.hashes if len(self.keys) else ():
             some = np.flatnonzero(self.maybe[(h >> np.uint64(48)).astype(np.int64)])
             at = np.minimum(np.searchsorted(self.sorted, h[some]), len(self.keys) - 1)
-            out[some] = np.minimum(out[some], np.where(self.sorted[at] == h[some], self.order[at], len(self.keys)))
-        return out
+            ok = self.sorted[at] == h[some]
+            tokens.append(some[ok]), found.append(self.order[at[ok]])
+        both = np.unique(np.concatenate(tokens) * (len(self.keys) + 1) + np.concatenate(found))
+        return both // (len(self.keys) + 1), both % (len(self.keys) + 1)
 
     def __post_init__(self):
         self.order = np.argsort(self.keys)
@@ -127,9 +138,11 @@ def _runs(sentence: np.ndarray, chosen: np.ndarray) -> list[tuple[np.ndarray, np
     return out
 
 
-def forward_backward(emit: np.ndarray, size: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals of label 1 [sentence, place], log partition, and expected transitions [2, 2]; emit: score of label 1."""
+def forward_backward(emit: np.ndarray, size: np.ndarray, step: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of label 1 [sentence, place], log partition, and expected transitions [2, 2], sentences weighed by ``weight``; emit:
+    score of label 1."""
     n, width = emit.shape
+    weight = np.ones(n) if weight is None else weight
     live = np.arange(width)[None, :] < size[:, None]
     a = np.zeros((width, n, 2))
     a[0, :, 1] = emit[:, 0]
@@ -145,15 +158,16 @@ def forward_backward(emit: np.ndarray, size: np.ndarray, step: np.ndarray) -> tu
         both = step[None] + nxt[:, None, :]
         on = live[:, k + 1]
         b[k] = np.where(on[:, None], np.logaddexp(both[:, :, 0], both[:, :, 1]), 0.0)
-        moves += np.exp(a[k][on][:, :, None] + both[on] - z[on][:, None, None]).sum(axis=0)
+        moves += (np.exp(a[k][on][:, :, None] + both[on] - z[on][:, None, None]) * weight[on][:, None, None]).sum(axis=0)
     marginal = np.exp(a[:, :, 1] + b[:, :, 1] - z).T
     return np.where(live, marginal, 0.0), z, moves
 
 
-def _emissions(crf: Crf, f: np.ndarray, t: Tokens) -> np.ndarray:
-    side = crf.side[f]
-    same = t.sentence[1:] == t.sentence[:-1]
-    out = crf.bias + crf.own[f]
+def _emissions(crf: Crf, at: np.ndarray, f: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    n = len(sentence)
+    side = np.bincount(at, crf.side[f], n)
+    same = sentence[1:] == sentence[:-1]
+    out = crf.bias + np.bincount(at, crf.own[f], n)
     out[1:] += np.where(same, side[:-1], 0)
     out[:-1] += np.where(same, side[1:], 0)
     return out
@@ -161,12 +175,12 @@ def _emissions(crf: Crf, f: np.ndarray, t: Tokens) -> np.ndarray:
 
 def marginals(crf: Crf, t: Tokens) -> np.ndarray:
     """Each token's probability to be toxic. Sentences without a feature depend on their length only and are computed once."""
-    f = crf.features(t)
-    out = np.zeros(len(f))
-    if not len(f):
+    at, f = crf.features(t)
+    out = np.zeros(len(t.start))
+    if not len(out):
         return out
-    emit = _emissions(crf, f, t)
-    telling = np.unique(t.sentence[f < len(crf.keys)])
+    emit = _emissions(crf, at, f, t.sentence)
+    telling = np.unique(t.sentence[at])
     for at, size in _runs(t.sentence, telling):
         p, _, _ = forward_backward(emit[at], size, crf.step)
         live = np.arange(at.shape[1])[None, :] < size[:, None]
@@ -202,24 +216,46 @@ def document_features(p: np.ndarray, t: Tokens, docs: int) -> np.ndarray:
     return np.stack([np.log1p(total), np.log(total / np.maximum(n, 1) + 1e-4), top, second], axis=1)
 
 
-def _features(t: Tokens, y: np.ndarray, least: int) -> np.ndarray:
-    """Hashes of words and word starts that toxic documents hold far more often, the most telling first."""
-    toxic, plain = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    found: list[tuple[float, int]] = []
+def _holders(t: Tokens) -> list[np.ndarray]:
+    """Hashes of each kind of feature, each as often as there are documents that hold it."""
+    out = []
     for h in t.hashes:
         ok = h != 0
         own, doc = h[ok], t.doc[ok]
         _, once = np.unique(own * np.uint64(0x9E3779B97F4A7C15) + doc.astype(np.uint64), return_index=True)  # once a document
-        uniq, inverse = np.unique(own[once], return_inverse=True)
-        hot = np.bincount(inverse, y[doc[once]], len(uniq))
-        cold = np.bincount(inverse, minlength=len(uniq)) - hot
-        lift = (hot / toxic) / ((cold + 0.5) / plain)
-        for k in np.flatnonzero((hot >= least) & (lift >= LIFT)):
-            gain = hot[k] * np.log(lift[k])
-            found.append((-gain, int(uniq[k])))
+        out.append(own[once])
+    return out
+
+
+def _features(toxic: list[str], plain: list[str]) -> np.ndarray:
+    """Hashes of features that toxic documents hold far more often, the most telling first. Only what enough toxic documents hold is
+    looked for in the others."""
+    least = max(LEAST, len(toxic) // 150)
+    parts = [[np.unique(own, return_counts=True) for own in _holders(t)] for _, t in _blocks(toxic)]
+    found: list[tuple[float, int]] = []
+    known = []
+    for kind in zip(*parts):
+        h, inverse = np.unique(np.concatenate([u for u, _ in kind]), return_inverse=True)
+        hot = np.bincount(inverse, np.concatenate([n for _, n in kind]), len(h))
+        known.append((h[hot >= least], hot[hot >= least], np.zeros(int((hot >= least).sum()))))
+    del parts
+    for _, t in _blocks(plain):
+        for own, (h, _, cold) in zip(_holders(t), known):
+            if len(h):
+                at = np.minimum(np.searchsorted(h, own), len(h) - 1)
+                cold += np.bincount(at[h[at] == own], minlength=len(h))
+    for h, hot, cold in known:
+        lift = (hot / len(toxic)) / ((cold + 0.5) / len(plain))
+        found += [(-hot[k] * np.log(lift[k]), int(h[k])) for k in np.flatnonzero(lift >= LIFT)]
     return np.array([h for _, h in sorted(found)[:FEATURES]], np.uint64)
 
 
+def _blocks(texts: list[str]):
+    """(first document, its tokens) by blocks of a megabyte."""
+    for lo, _, block in blocks(pa.array(texts, pa.large_string()), 1 << 20):
+        yield lo, tokenize(block)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     x1, w = np.hstack([x, np.ones((len(x), 1))]), np.zeros(x.shape[1] + 1)
     for _ in range(50):
@@ -229,68 +265,93 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def _tokens_of(texts: list[str]) -> Tokens:
-    """Tokens of all texts, made in blocks, as hashing takes many times a block's size."""
-    parts, sentences = [], 0
-    for lo, _, block in blocks(pa.array(texts, pa.large_string()), 1 << 20):
-        t = tokenize(block)
-        parts.append(Tokens(t.start.astype(np.int32), t.end.astype(np.int32), (t.doc + lo).astype(np.int32), (t.sentence + sentences).astype(np.int32), t.hashes))
-        sentences = int(parts[-1].sentence[-1]) + 1 if len(t.sentence) else sentences
-    every = lambda name: np.concatenate([getattr(p, name) for p in parts])
-    return Tokens(every("start"), every("end"), every("doc"), every("sentence"), [np.concatenate(h) for h in zip(*(p.hashes for p in parts))])
+@dataclass
+class _Chains:
+    """Training chains that have a feature: chain and document of each token, and the features tokens have; lengths of all others."""
+
+    chain: np.ndarray
+    doc: np.ndarray
+    at: np.ndarray
+    f: np.ndarray
+    lengths: np.ndarray
+    many: np.ndarray
+
+
+def _chains(crf: Crf, texts: list[str]) -> _Chains:
+    """A chain is a sentence, or CHAIN tokens of a longer one. Of the words only numbers of features are kept."""
+    chain, doc, at, f, rest = [], [], [], [], Counter()
+    held = chains = 0
+    for first, t in _blocks(texts):
+        a, g = crf.features(t)
+        place = np.arange(len(t.sentence)) - np.searchsorted(t.sentence, t.sentence)
+        new = np.ones(len(place), bool)
+        new[1:] = (t.sentence[1:] != t.sentence[:-1]) | (place[1:] % CHAIN == 0)
+        number = np.cumsum(new) - 1
+        telling = np.zeros(int(new.sum()), bool)
+        telling[number[a]] = True
+        sizes = np.bincount(number, minlength=len(telling))
+        rest.update(Counter(sizes[~telling].tolist()))
+        kept = telling[number]
+        moved = np.cumsum(kept) - 1
+        chain.append((np.cumsum(telling) - 1)[number[kept]].astype(np.int32) + np.int32(chains)), doc.append((t.doc[kept] + first).astype(np.int32))
+        at.append((moved[a] + held).astype(np.int32)), f.append(g.astype(np.int16))
+        held, chains = held + int(kept.sum()), chains + int(telling.sum())
+    lengths = np.array(sorted(rest), np.int64)
+    return _Chains(*(np.concatenate(x) for x in (chain, doc, at, f)), lengths, np.array([rest[n] for n in lengths.tolist()], np.int64))
 
 
 def fit(samples: list[tuple[str, int]], rounds: int = 40) -> Crf | None:
     """Trains on labelled documents. Only documents are labelled, so tokens get labels from them: a token with a feature is
-    labelled toxic in a toxic document, every other token is labelled plain. Conditional likelihood by gradient steps (Adam)."""
-    y = np.array([int(v > 0) for _, v in samples])
-    if not len(y) or y.all() or not y.any():
+    labelled toxic in a toxic document, every other token is labelled plain. Conditional likelihood of all chains by gradient steps
+    (Adam); chains without a feature are alike if they are of one length, so each length is computed once and weighed. Texts are
+    tokenized in blocks, again for each of the three passes, so a block's hashes are all that is held at a time."""
+    toxic, plain = [s for s, v in samples if v > 0], [s for s, v in samples if v <= 0]
+    if not toxic or not plain:
         return None
-    t = _tokens_of([s for s, _ in samples])
-    keys = _features(t, y, max(LEAST, int(y.sum()) // 150) if y.sum() >= 40 else 3)
+    texts, y = toxic + plain, np.repeat([1, 0], [len(toxic), len(plain)])
+    keys = _features(toxic, plain)
     k = len(keys)
-    crf = Crf(keys, np.zeros(k + 1), np.zeros(k + 1), -4.0, np.zeros((2, 2)), np.zeros(5), np.zeros(4), np.ones(4))
-    f = crf.features(t)
-    gold = (f < k) & (y[t.doc] == 1)
-    telling = np.unique(t.sentence[f < k])
-    # every sentence with a feature, and as many others
-    others = np.setdiff1d(np.arange(t.sentence[-1] + 1), telling)
-    others = others[:: max(1, len(others) // max(len(telling), 100))]
-    chosen = np.union1d(telling, others)
-    chosen = chosen[np.bincount(t.sentence)[chosen] <= TRAIN_TOKENS]
-    runs = _runs(t.sentence, chosen)
+    crf = Crf(keys, np.zeros(k), np.zeros(k), -4.0, np.zeros((2, 2)), np.zeros(5), np.zeros(4), np.ones(4))
+    c = _chains(crf, texts)
+    n, lengths, many = len(c.chain), c.lengths, c.many
+    gold = np.zeros(n, bool)
+    gold[c.at[y[c.doc[c.at]] == 1]] = True
+    runs = _runs(c.chain, np.unique(c.chain))
+    same = np.append(c.chain[1:] == c.chain[:-1], False)[:n]
     theta = {"own": crf.own, "side": crf.side, "bias": np.array([-4.0]), "step": crf.step}
-    m, v = {n: np.zeros_like(x) for n, x in theta.items()}, {n: np.zeros_like(x) for n, x in theta.items()}
+    m, v = {x: np.zeros_like(w) for x, w in theta.items()}, {x: np.zeros_like(w) for x, w in theta.items()}
     for r in range(1, rounds + 1):
         crf.bias = float(theta["bias"][0])
-        emit, g = _emissions(crf, f, t), {n: np.zeros_like(x) for n, x in theta.items()}
-        total = 0
+        emit, g, diff = _emissions(crf, c.at, c.f, c.chain), {x: np.zeros_like(w) for x, w in theta.items()}, np.zeros(n)
         for at, size in runs:
             p, _, moves = forward_backward(emit[at], size, crf.step)
             live = np.arange(at.shape[1])[None, :] < size[:, None]
             goal = gold[at] & live
-            diff = np.where(live, goal - p, 0.0)
-            ids = np.where(live, f[at], k)
-            g["own"] += np.bincount(ids.ravel(), diff.ravel(), k + 1)
-            side = np.zeros(k + 1)
+            diff[at[live]] = (goal - p)[live]
             if at.shape[1] > 1:
-                side += np.bincount(ids[:, :-1].ravel(), diff[:, 1:].ravel(), k + 1) + np.bincount(ids[:, 1:].ravel(), diff[:, :-1].ravel(), k + 1)
                 pair = goal[:, :-1] * 2 + goal[:, 1:]
                 g["step"] += np.bincount(pair[live[:, 1:]], minlength=4).reshape(2, 2) - moves
-            g["side"] += side
-            g["bias"] += diff.sum()
-            total += live.sum()
-        for n, x in theta.items():
-            grad = g[n] - 0.05 * x
-            if n in ("own", "side"):
-                grad[k] = 0
-            m[n] = 0.9 * m[n] + 0.1 * grad
-            v[n] = 0.99 * v[n] + 0.01 * grad * grad
-            x += 0.3 * (m[n] / (1 - 0.9**r)) / (np.sqrt(v[n] / (1 - 0.99**r)) + 1e-8)
+        before, after = np.concatenate([[0.0], np.where(same[:-1], diff[:-1], 0)]), np.append(np.where(same[:-1], diff[1:], 0), 0.0)
+        g["own"] += np.bincount(c.f, diff[c.at], k)
+        g["side"] += np.bincount(c.f, (before + after)[c.at], k)
+        g["bias"] += diff.sum()
+        if len(lengths):
+            p, _, moves = forward_backward(np.full((len(lengths), int(lengths.max())), crf.bias), lengths, crf.step, many.astype(float))
+            g["bias"] -= (p.sum(axis=1) * many).sum()
+            g["step"] -= moves
+            g["step"][0, 0] += ((lengths - 1) * many).sum()
+        for x, w in theta.items():
+            grad = g[x] - 0.05 * w
+            m[x] = 0.9 * m[x] + 0.1 * grad
+            v[x] = 0.99 * v[x] + 0.01 * grad * grad
+            w += 0.3 * (m[x] / (1 - 0.9**r)) / (np.sqrt(v[x] / (1 - 0.99**r)) + 1e-8)
     crf.bias, crf._plain = float(theta["bias"][0]), (np.zeros(0),) * 3
-    x = document_features(marginals(crf, t), t, len(y))
-    crf.mean, crf.sd = x.mean(axis=0), x.std(axis=0) + 1e-6
-    crf.doc = _logistic((x - crf.mean) / crf.sd, y, np.ones(len(y)))
+    found = np.zeros((len(y), 4))
+    for lo, hi, block in blocks(pa.array(texts, pa.large_string()), 1 << 20):
+        t = tokenize(block)
+        found[lo:hi] = document_features(marginals(crf, t), t, hi - lo)
+    crf.mean, crf.sd = found.mean(axis=0), found.std(axis=0) + 1e-6
+    crf.doc = _logistic((found - crf.mean) / crf.sd, y, np.ones(len(y)))
     return crf
 
 
@@ -310,8 +371,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     A conditional random field tags the tokens of each sentence; a logistic model turns a document's marginals (their sum, share
     and highest values) into its score. spans lists [start, end) in bytes of the text's UTF-8 and the highest marginal of runs of tokens whose
-    marginal is SPAN or more. Both models learn from a sample of labelled training rows, bounded by SAMPLE and SAMPLE_BYTES; ids,
-    labels, languages and sources are no inputs of a score. Whole texts are scored, sentence by sentence, without a shuffle.
+    marginal is SPAN or more. Both models learn from a sample of labelled training rows, bounded by SAMPLE rows a class and SAMPLE_BYTES of
+    text together, whatever a text's length; ids, labels, languages and sources are no inputs of a score. Whole texts are scored,
+    sentence by sentence, however long, without a shuffle.
 
     Null and empty texts are scored as documents without tokens. Without labels of both classes every score is 0. Repeated rows
     and null ids are scored like any other; an empty table gives no rows. Other columns are ignored.
