@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_hash, small_batches, write_table
+from .common import placed, row_hash, small_batches, write_table
 from .components import connected_components
 
 #: Fingerprints of 64 bits are cut into this many parts; two that differ in at most RADIUS bits agree on BLOCKS - RADIUS parts.
@@ -231,22 +231,27 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return own.join(found, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
-def simhash_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, n): the row that stands for each group of linked texts, found by id and :func:`row_hash`, and how often it is there.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their group of linked texts (:func:`simhash_components`): those with the
+    smallest id, then the smallest hash of the row; of rows equal in all columns, one.
 
-    Groups are those of :func:`simhash_components`; the row is the one with the smallest id, then the smallest hash. Rows with a null
-    id are linked among themselves only, so they never stand for a row with an id or the other way round.
+    Rows with a null id are linked among themselves only, so they never stand for a row with an id or the other way round. Rows that
+    share an id but are in different groups are decided on their own. A row is known by its place (:func:`placed`); the kept places
+    grow with the table, so they are joined by a merge and texts are shuffled once, whatever the size. An empty table gives no rows.
     """
-    keyed = docs.withColumn("_row", row_hash(docs))
-    own = write_table(with_fingerprint(keyed, id_col, text_col, carried=("_row",)), "fingerprints")
-    one = own.groupBy("id", "_row", "fp").agg(F.count("*").alias("n"))
+    keyed, place = placed(docs)
+    keyed = keyed.withColumn(place[0] + "_row", row_hash(docs.columns))
+    row = place[0] + "_row"
+    own = write_table(with_fingerprint(keyed, id_col, text_col, carried=(row, *place)), "fingerprints")
 
     def firsts(rows: DataFrame) -> DataFrame:
-        least = rows.groupBy("fp").agg(F.min(F.struct("id", "_row", "n")).alias("least"))
-        return _groups(least).groupBy("root").agg(F.min("least").alias("least")).select("least.id", F.col("least._row").alias("row"), "least.n")
+        least = rows.groupBy("fp").agg(F.min(F.struct("id", row, *place)).alias("least"))
+        return _groups(least).groupBy("root").agg(F.min("least").alias("least")).select(*[F.col(f"least.{c}").alias(c) for c in place])
 
-    out = firsts(one.where("id IS NOT NULL"))
-    return out if own.where("id IS NULL").isEmpty() else out.unionByName(firsts(one.where("id IS NULL")))
+    kept = firsts(own.where("id IS NOT NULL"))
+    if not own.where("id IS NULL").isEmpty():
+        kept = kept.unionByName(firsts(own.where("id IS NULL")))
+    return keyed.join(kept.hint("merge"), list(place), "left_semi").select(*docs.columns)
 
 
 def hex_fingerprint(fp):
