@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running_sums
+
 #: Racks of a region, shards of a rack.
 RACKS, SHARDS = 2, 2
-#: A run is 2 ** RUN_BITS neighbouring ids; it is numbered in one task.
-RUN_BITS = 13
 
 #: A tree: region -> rack -> {shard: weight}.
 Tree = dict[int, dict[int, dict[int, float]]]
@@ -78,20 +78,14 @@ def shard_documents(docs: DataFrame, shards: int = 8, tree: Tree | None = None,
     """(id, size, text_crc32, law, shard, slot, grown_shard), a row for each row of ``docs``.
 
     The law is ``key``: id and tree decide the shard, and ``grown_shard`` is the shard with one more (:func:`grow`). slot numbers a
-    shard's rows from 0 without gaps, in order of id (nulls first), size and checksum. Rows are numbered within runs of
-    neighbouring ids, and a run's first slot is the sum of the shard's runs before it, so no task orders a whole shard. Only ids,
-    sizes and checksums are shuffled. Null ids are a key like any other; null texts have size 1 and checksum 0; repeated rows
-    get slots of their own. An empty table gives no rows; other columns are ignored.
+    shard's rows from 0 without gaps, in order of id (nulls first), size and checksum (:func:`running_sums`), so no task orders a
+    whole shard, also where ids are sparse, null or repeated. Only ids, sizes and checksums are shuffled. Null ids are a key like any
+    other; null texts have size 1 and checksum 0; very long texts are read for their size and checksum only; repeated rows get slots
+    of their own. An empty table gives no rows; other columns are ignored.
     """
     tree = tree or base_tree(shards)
     text, key = F.col(text_col).cast("string"), F.col("id")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_size(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"))
-    rows = rows.withColumns({"shard": shard_of(tree, key), "grown_shard": shard_of(grow(tree), key), "run": F.shiftright(key, RUN_BITS)})
-    counts = rows.groupBy("shard", "run").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy(F.col("run").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("shard", F.col("run").alias("of_run"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("shard", "run").orderBy(F.col("id"), F.col("size"), F.col("text_crc32"))
-    rows = rows.withColumn("nth", F.row_number().over(within) - 1)
-    counts = counts.withColumnRenamed("shard", "of_shard")
-    return rows.join(counts, (F.col("shard") == F.col("of_shard")) & F.col("run").eqNullSafe(F.col("of_run"))).select(
-        "id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("nth")).cast("long").alias("slot"), "grown_shard")
+    rows = rows.withColumns({"shard": shard_of(tree, key), "grown_shard": shard_of(grow(tree), key)})
+    return running_sums(rows, "shard", ["id", "size", "text_crc32"], {}).select(
+        "id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("nth").alias("slot"), "grown_shard")
