@@ -305,7 +305,7 @@ def test_crf_forward_backward():
 
 
 def test_plain_sentences_share_messages():
-    crf = toxicity.Crf(np.array([5], np.uint64), np.zeros(2), np.zeros(2), -1.5, np.array([[0.3, -0.2], [0.1, 0.7]]), np.zeros(5), np.zeros(4), np.ones(4))
+    crf = toxicity.Crf(np.array([5], np.uint64), np.zeros(1), np.zeros(1), -1.5, np.array([[0.3, -0.2], [0.1, 0.7]]), np.zeros(5), np.zeros(4), np.ones(4))
     _, _, block = next(blocks(pa.array(["aa bb cc. dd ee ff gg hh. ii"])))
     got = toxicity.marginals(crf, toxicity.tokenize(block))
     want = [toxicity.forward_backward(np.full((1, n), -1.5), np.array([n]), crf.step)[0][0] for n in (3, 5, 1)]
@@ -409,20 +409,22 @@ def test_encoder_is_exact():
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_token_files(spark, docs, awkward):
+@pytest.mark.parametrize("segment", [token_ids.SEGMENT, 500])
+def test_token_files(spark, docs, awkward, monkeypatch, segment):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(token_ids, "SEGMENT", segment)
     path = queries._vocabulary("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
     for table in (docs, awkward):
         want = []
         for r in table.select("doc_id", "text").collect():
             ids = np.array([*plain.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
-            if r.doc_id is not None:
-                want.append((r.doc_id, len(ids), zlib.crc32(ids.tobytes())))
+            want.append((r.doc_id, len(ids), zlib.crc32(ids.tobytes())))
         got = sorted(token_ids.token_digest(table, path).collect(), key=lambda r: r.start)
-        assert [r.id for r in got] == sorted(i for i, _, _ in want)
-        assert sorted((r.id, r.n_tokens, r.ids_crc32) for r in got) == sorted(want)
+        null_first = lambda i: (i is not None, i or 0)
+        assert [r.id for r in got] == sorted((i for i, _, _ in want), key=null_first)
+        assert sorted(((r.id, r.n_tokens, r.ids_crc32) for r in got), key=str) == sorted(want, key=str)
         assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
     assert token_ids.token_digest(awkward.limit(0), path).count() == 0
 
@@ -460,18 +462,83 @@ def test_mixing(spark, docs, awkward):
 
 def test_quotas_are_those_of_highest_quotients(spark):
     rng = random.Random(8)
-    for n in (1, 2, 7, 30):
+    for n, shards in ((1, 1), (2, 3), (7, 8), (30, 5)):
         sizes = {f"s{k:02d}": rng.choice([0, 5, 40, 900, 30_000]) for k in range(n)}
-        rows = mixing.block_quotas(mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))).collect()
-        target = {r.source: r.target for r in rows}
+        rows = mixing.shard_quotas(mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")), shards).collect()
         blocks_of = {r.source: r.blocks for r in rows}
         target = {r.source: r.target / r.source_size * r.blocks if r.blocks else 0.0 for r in rows}
-        seats, quota = math.floor(sum(target.values()) + 0.5), Counter()
-        for _ in range(seats):
-            open_ = [s for s in target if target[s] > 0 and quota[s] < 2 * blocks_of[s]]
-            if open_:
-                quota[max(open_, key=lambda s: (target[s] / (2 * quota[s] + 1), [-ord(c) for c in s]))] += 1
-        assert {r.source: r.quota for r in rows} == {s: quota[s] for s in target}
+        seats, quota, upto = math.floor(sum(target.values()) + 0.5), Counter(), {s: [] for s in target}
+        for j in range(shards):
+            for _ in range(seats * j // shards, seats * (j + 1) // shards):
+                open_ = [s for s in target if target[s] > 0 and quota[s] < 2 * blocks_of[s]]
+                if open_:
+                    quota[max(open_, key=lambda s: (target[s] / (2 * quota[s] + 1), [-ord(c) for c in s]))] += 1
+            for s in target:
+                upto[s].append(quota[s])
+        assert {r.source: r.upto for r in rows} == upto
+
+
+def test_shards_take_their_quotas(spark, monkeypatch):
+    """Every block is chosen by the seeded order; sums by shard are the quotas; another seed chooses others."""
+    rng = random.Random(4)
+    data = [(rng.choice([None, 7, k, 10**15 + k]), "w " * rng.choice([0, 1, 5, 40, 400]), rng.choice("abc")) for k in range(300)] + [(None, "x " * 64, "a")] * 100
+    table = spark.createDataFrame(data, "doc_id long, text string, source string")
+    taken = {}
+    for seed in (1, 2):
+        rows = mixing.mix_documents(table, seed=seed, shards=5).collect()
+        taken[seed] = sorted((str(r.id), r.source, r.size, r.taken) for r in rows)
+        assert all(sum(r.shard_taken) == r.taken <= 2 * r.size for r in rows)
+        size = Counter()
+        for r in rows:
+            size[r.source] += r.size
+        plan = {r.source: r for r in mixing._with_permutation(mixing.shard_quotas(mixing.source_targets(spark.createDataFrame(list(size.items()), "source string, source_size long")), 5), seed).collect()}
+        for s, p in plan.items():
+            order = [(b * p.factor + p.step) % p.n for b in range(p.n)]
+            assert sorted(order) == list(range(p.n))
+            own = sorted((r for r in rows if r.source == s), key=lambda r: r.nth)
+            assert [r.nth for r in own] == list(range(len(own))) and [r.id or -1 for r in own] == sorted(r.id or -1 for r in own)
+            words = [k for k, r in enumerate(own) for _ in range(r.size)]
+            want = [[0] * 5 for _ in own]
+            for w, k in enumerate(words):
+                for seat in (order[w // 16], order[w // 16] + p.n):
+                    if seat < p.upto[-1]:
+                        want[k][sum(q <= seat for q in p.upto)] += 1
+            assert [r.shard_taken for r in own] == want
+    assert taken[1] != taken[2]
+
+
+def test_running_sums_of_awkward_ids(spark):
+    """Null, repeated and sparse ids: sums as in one sorted list, whatever the parts."""
+    from veilspan.llm.ordered import running_sums
+
+    rng = random.Random(2)
+    data = [(rng.choice(["a", None]), rng.choice([None, 3, rng.randrange(-(2**62), 2**62)]), rng.randrange(5)) for _ in range(400)]
+    got = running_sums(spark.createDataFrame(data, "g string, i long, v long").repartition(5), "g", ["i", "v"], {"s": F.col("v")}).collect()
+    assert len(got) == 400
+    for g in ("a", None):
+        total = 0
+        own = sorted((r for r in got if r.g == g), key=lambda r: r.nth)
+        assert [(r.i is not None, r.i or 0, r.v) for r in own] == sorted((i is not None, i or 0, v) for h, i, v in data if h == g)
+        for k, r in enumerate(own):
+            assert (r.nth, r.s) == (k, total)
+            total += r.v
+
+
+def test_draws_of_the_tree_are_recomputed(spark):
+    """The shard is that of the least -ln(u) / weight at each level, u being from the id's XXH64."""
+
+    def unit(name, i):
+        h = xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), xxhash.xxh64_intdigest(name.encode(), 42))
+        return ((h >> 11) + 0.5) * 2.0**-53
+
+    pick = lambda level, nodes, i: min(nodes, key=lambda n: -math.log(unit(f"{level}/{n[0]}", i)) / n[1])[2]
+    tree = sharding.base_tree(11)
+    tree[1][0][4] = 3.0
+    total = lambda racks: sum(w for rack in racks.values() for w in rack.values())
+    for r in spark.range(500).select("id", sharding.shard_of(tree, F.col("id")).alias("s")).collect():
+        region = pick("region", [(str(k), total(x), k) for k, x in tree.items()], r.id)
+        rack = pick("rack", [(f"{region}/{k}", sum(x.values()), k) for k, x in tree[region].items()], r.id)
+        assert r.s == pick("shard", [(f"{region}/{rack}/{k}", w, k) for k, w in tree[region][rack].items()], r.id)
 
 
 def test_embeddings_of_several_lengths(spark):
