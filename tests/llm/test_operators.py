@@ -208,12 +208,41 @@ def test_long_words_are_learned_from(spark, monkeypatch):
     for w in train:
         lattice._long_expect(w, vocab, start.logp, 3.0, got)
     assert np.allclose(got, want) and np.isclose(sum(got[k] * len(p) for k, (p, _) in enumerate(pieces)), 3 * sum(map(len, train)))
-    # every training word occurs once, so an unseen word has the whole mass of the pieces
     tokens = 2 * len(train)
-    model = lattice._model(vocab, lattice._with_prior(want[:-1] / 3, prior, tokens))
-    unseen = {i: float(model.words([(" " + t).encode()])[0]) for i, t in table}
+    models = [start, lattice._model(vocab, lattice._with_prior(want[:-1] / 3, prior, tokens))]
     rows = lattice.score_texts(spark.createDataFrame(table, "doc_id long, text string"), path).collect()
-    assert any(r.held_out for r in rows) and all(math.isclose(r.score, (unseen[r.id] + 2 * math.log(0.5)) / math.log(10), rel_tol=1e-9) for r in rows)
+    assert any(r.held_out for r in rows)
+    for name, model in zip(("score", "fitted_score"), models):
+        logs = {i: float(model.words([(" " + t).encode()])[0]) for i, t in table}
+        assert all(math.isclose(r[name], (logs[r.id] + 2 * math.log(0.5)) / math.log(10), rel_tol=1e-9) for r in rows)
+
+
+def brute_marginal(word, weights, total):
+    """The sum over all segmentations, longest prefix first, with plain Python numbers."""
+    ways = [1.0] + [0.0] * len(word)
+    for j in range(1, len(word) + 1):
+        ways[j] = sum(ways[i] * weights.get(word[i:j], 0.0) / total for i in range(max(0, j - 40), j))
+    return ways[-1]
+
+
+def test_lm_score_is_the_marginal_over_all_segmentations(spark, docs):
+    path = queries._vocabulary("piece_bpe_32k.model")
+    weights = dict(lattice.read_pieces(path))
+    total = sum(max(w, 1e-12) for w in weights.values())
+    assert max(map(len, weights)) <= 40
+    rows = [(r.doc_id, r.text) for r in docs.limit(40).collect()] + [(None, "Straße übt, 漢字!"), (900, None), (901, "a" * 120)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    train = [(t or "").encode().lower().split() for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+    end = len(train) / sum(len(w) + 1 for w in train)
+    logs = {}
+    want = []
+    for i, t in rows:
+        words = [b" " + w for w in (t or "").encode().lower().split()]
+        for w in words:
+            if w not in logs:
+                logs[w] = math.log10(brute_marginal(w, weights, total))
+        want.append((str(i), round(sum(logs[w] + math.log10(1 - end) for w in words) + math.log10(end), 4)))
+    assert sorted((str(r.id), round(r.score, 4)) for r in lattice.score_texts(table, path, group_bytes=20_000).collect()) == sorted(want)
 
 
 def test_lm_base_and_scores(spark, docs, awkward):
@@ -226,7 +255,7 @@ def test_lm_base_and_scores(spark, docs, awkward):
         want = sorted((str(i), not train(i), len(ws) + 1, sum(c[w] > 0 for w in [*ws, None]), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in [*ws, None]), 4)) for i, ws in rows)
         got = lattice.score_texts(table, path, group_bytes=50_000).collect()
         assert sorted((str(r.id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-        assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+        assert all(math.isfinite(x) and x < 0 for r in got for x in (r.score, r.fitted_score))
     assert lattice.score_texts(awkward.limit(0), path).count() == 0
 
 
