@@ -152,18 +152,46 @@ def test_whole_forms(spark, tiny, monkeypatch):
     assert set(said) == set(lines) == {(p, i) for p in sizes for i in range(1, 34)}
     got = lambda name: catalogue.QUERIES[name](spark, tiny).collect()
     hide = {k for k, r in said.items() if r.action == "HIDE"}
-    assert {i for _, i in hide} - {i for i, *_ in catalogue._EXPECTED}
-    assert {(r.page_id, r.span_id): r.masked for r in got("form_masked_text")} == {k: "█" * len(r.text) if k in hide else r.text for k, r in lines.items()}
+    assert {(r.page_id, r.span_id): r.masked for r in got("masked_text")} == {k: "█" * len(r.text) if k in hide else r.text for k, r in lines.items()}
     want = {k: (max(lines[k].l - 3, 0), max(lines[k].t - 3, 0), min(lines[k].r + 3, sizes[k[0]][0]), min(lines[k].b + 3, sizes[k[0]][1])) for k in hide}
-    assert {(r.page_id, r.span_id): (r.l, r.t, r.r, r.b) for r in got("form_redaction_bars")} == want
+    assert {(r.page_id, r.span_id): (r.l, r.t, r.r, r.b) for r in got("redaction_bars")} == want
     n = lambda p, a: sum(k[0] == p and r.action == a for k, r in said.items())
-    assert {r.page_id: r.n_hidden for r in got("form_hidden_spans")} == {p: n(p, "HIDE") for p in sizes if n(p, "HIDE")}
-    assert {r.page_id: (r.n_hide, r.n_keep, r.n_unsure) for r in got("form_action_counts")} == {p: (n(p, "HIDE"), n(p, "KEEP"), n(p, "UNSURE")) for p in sizes}
+    assert {r.page_id: r.n_hidden for r in got("hidden_spans")} == {p: n(p, "HIDE") for p in sizes if n(p, "HIDE")}
+    assert {r.page_id: (r.n_hide, r.n_keep, r.n_unsure) for r in got("action_counts")} == {p: (n(p, "HIDE"), n(p, "KEEP"), n(p, "UNSURE")) for p in sizes}
     flip = lambda k, r: ("KEEP" if r.action == "HIDE" else "HIDE", "USER") if k[1] == 11 else (r.action, r.source)
-    assert {(r.page_id, r.span_id): (r.action, r.source) for r in got("form_toggled_decisions")} == {k: flip(k, r) for k, r in said.items()}
-    assert {(r.page_id, r.id): (r.action, r.src, r.x, r.y, r.text) for r in got("form_span_log")} == {k: (r.action, r.source, lines[k].l, lines[k].t, lines[k].text) for k, r in said.items()}
+    assert {(r.page_id, r.span_id): (r.action, r.source) for r in got("toggled_decisions")} == {k: flip(k, r) for k, r in said.items()}
+    assert {(r.page_id, r.id): (r.action, r.src, r.x, r.y, r.text) for r in got("span_log")} == {k: (r.action, r.source, lines[k].l, lines[k].t, lines[k].text) for k, r in said.items()}
     hints = [r.page_id for r in E.with_hints(forms).collect() if r.hints]
-    assert {r.page_id: r.n_identified for r in got("form_lines_with_hints")} == {p: hints.count(p) for p in sizes}
+    assert {r.page_id: r.n_identified for r in got("lines_with_hints")} == {p: hints.count(p) for p in sizes}
+
+
+def test_replies_reach_their_spans(spark):
+    """Local ids become span ids, others go; pages without any decision are degraded; the bar is the reply format's."""
+    queue = spark.createDataFrame([(p, s, 0, s - 9) for p in (1, 2) for s in range(10, 20)], "page_id long, span_id int, batch_no int, local_id int")
+    said = spark.createDataFrame([(1, 0, 1, i, "HIDE" if i < 9 else "KEEP", "listed") for i in [*range(1, 11), 77]], "page_id long, batch_no int, attempt int, local_id int, action string, reason string")
+    assert sorted(r.span_id for r in cascade.by_span(said, queue).collect()) == list(range(10, 20))
+    held, doubt = cascade.settle_batches(said, queue, letters=True)
+    assert held.count() == 11 and doubt.count() == 0
+    held, doubt = cascade.settle_batches(said, queue, letters=False)
+    assert held.count() == 0 and sorted(r.span_id for r in doubt.collect()) == list(range(10, 20))
+    assert {r.page_id: r.degraded for r in cascade.degraded_pages(queue, cascade.by_span(said, queue)).collect()} == {1: False, 2: True}
+    prompts = spark.createDataFrame([(1, 0, 10, "p"), (2, 0, 10, "q")], "page_id long, batch_no int, n long, prompt string")
+    first = said.drop("attempt")
+    assert cascade.retry_prompts(prompts, first, letters=True).count() == 0
+    assert [r.page_id for r in cascade.retry_prompts(prompts, first, letters=False).collect()] == [1]
+
+
+def test_clipboard_quads_and_images(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, "  a b\t"), (1, 2, " \n")], "page_id long, span_id int, text string")
+    assert [r.text for r in merge.clipboard(rows, 1, 1).collect()] == ["a b"] and merge.clipboard(rows, 1, 2).count() == 0
+    points = spark.createDataFrame([(0.0, 0.0, 10.0, 10.0)], "x0 double, y0 double, x1 double, y1 double").select(F.array(G.point(F.col("x0"), F.col("y0")), G.point(F.col("x1"), F.col("y1"))).alias("two"),
+        G.quad_of(F.lit(0), F.lit(0), F.lit(10), F.lit(4)).alias("four"), F.array(*[G.point(F.lit(x), F.lit(y)) for x, y in ((0, 0), (10, 10), (6, 14), (-4, 4))]).alias("tilted"))
+    got = points.select(G.as_quad(F.col("two")).alias("none"), G.quad_angle(F.col("four")).alias("flat"), G.quad_angle(F.col("tilted")).alias("angle"), G.is_slanted(F.col("four")).alias("a"), G.is_slanted(F.col("tilted")).alias("b")).first()
+    assert got.none is None and got.flat == 0 and abs(got.angle - 45) < 1e-9 and (got.a, got.b) == (False, True)
+    (tmp_path / "x.png").write_bytes(b"abc")
+    assert [(r.length, bytes(r.content)) for r in S.read_images(spark, str(tmp_path / "x.png")).collect()] == [(3, b"abc")]
+    merge.write_masked(spark.createDataFrame([(1, 1, "ab", "HIDE"), (1, 2, "cd", "KEEP")], "page_id long, span_id int, text string, action string"), str(tmp_path / "out"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["██", "cd"]
 
 
 def test_catalogue_has_oracles():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.entities import has_strong, kind_label
 from ..functions.text import clip, is_blank, trimmed
+from . import instructions as I
 
 WORKHORSE_BATCH, REFEREE_BATCH, QUEUE_CAP = 10, 20, 8
 
@@ -77,7 +79,9 @@ def reply_schema(n: Column, referee: bool = False) -> Column:
 
 
 def judge(prompts: DataFrame, model: Callable[[], Callable[[str], str]]) -> DataFrame:
-    """(page_id, batch_no, reply): each prompt's reply. ``model`` is called once a task; a prompt on which it fails has no reply."""
+    """(page_id, batch_no, reply): each prompt's reply. ``model`` is called once a task; a prompt on which it fails has no reply. A column
+    ``system``, if there is one, goes before the prompt with a blank line between."""
+    text = F.concat_ws("\n\n", "system", "prompt") if "system" in prompts.columns else F.col("prompt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask = model()
@@ -90,10 +94,10 @@ def judge(prompts: DataFrame, model: Callable[[], Callable[[str], str]]) -> Data
                     replies.append(None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(replies, pa.string())], ["page_id", "batch_no", "reply"])
 
-    return prompts.select("page_id", "batch_no", "prompt").mapInArrow(run, "page_id long, batch_no int, reply string").where("reply IS NOT NULL")
+    return prompts.select("page_id", "batch_no", text.alias("prompt")).mapInArrow(run, "page_id long, batch_no int, reply string").where("reply IS NOT NULL")
 
 
-# Words that replies use for each action.
+# Words that replies use for each action, and the patterns by which replies are read.
 ACTIONS = {
     "HIDE": ["hide", "redact", "sensitive", "private", "mask", "block"],
     "KEEP": ["keep", "show", "safe", "public", "visible", "none"],
@@ -162,19 +166,112 @@ def is_collapsed(n: Column, kinds: Column, hides: Column, tenths: int = 8) -> Co
     return (n >= 4) & ((kinds == 1) | (10 * hides >= tenths * n))
 
 
-def settle_batches(answers: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: Share of HIDE, in tenths, from which a batch's answer counts as collapsed: of JSON replies, and of lists of letters, where only answers
+#: that are all the same do.
+TIGHT, LOOSE = 8, 11
+
+
+def collapsed_batches(answers: DataFrame, letters: bool = True) -> DataFrame:
+    """(page_id, batch_no, attempt, collapsed) of answers (page_id, batch_no, attempt, local_id, action)."""
+    shape = answers.groupBy("page_id", "batch_no", "attempt").agg(F.count("*").alias("n"), F.count_distinct("action").alias("k"), F.count_if(F.col("action") == "HIDE").alias("h"))
+    return shape.select("page_id", "batch_no", "attempt", is_collapsed(F.col("n"), F.col("k"), F.col("h"), LOOSE if letters else TIGHT).alias("collapsed"))
+
+
+def retry_prompts(prompts: DataFrame, first: DataFrame, letters: bool = True) -> DataFrame:
+    """(page_id, batch_no, n, system, prompt): batches to ask once more, as their first answers (without attempt) are collapsed. Of lists of
+    letters the question is turned round; a JSON reply is asked for again as it was."""
+    bad = collapsed_batches(first.withColumn("attempt", F.lit(1)), letters).where("collapsed")
+    system = F.lit(I.RETRY_LETTERS if letters else I.WORKHORSE)
+    return prompts.join(bad, ["page_id", "batch_no"], "left_semi").select("page_id", "batch_no", "n", system.alias("system"), "prompt")
+
+
+def with_system(prompts: DataFrame, task: str, letters: bool = False) -> DataFrame:
+    """Adds system: the instruction of the task (WORKHORSE, REFEREE or SUMMARY) and reply format."""
+    return prompts.withColumn("system", F.lit(getattr(I, f"{task}_LETTERS" if letters and task != "SUMMARY" else task)))
+
+
+def settle_batches(answers: DataFrame, asked: DataFrame, letters: bool = True) -> tuple[DataFrame, DataFrame]:
     """Of answers (page_id, batch_no, attempt, local_id, action, reason): the decisions that hold, and the lines in doubt.
 
-    A batch's first answer holds unless it is collapsed; then the second holds if there is one and it isn't. Lines of batches that were
-    answered and discarded are in doubt.
+    A batch's first answer holds unless it is collapsed, by the bar of the reply format; then the second holds if there is one and it
+    isn't. Lines of batches that were answered and discarded are in doubt.
     """
-    shape = answers.groupBy("page_id", "batch_no", "attempt").agg(F.count("*").alias("n"), F.count_distinct("action").alias("k"), F.count_if(F.col("action") == "HIDE").alias("h"))
-    good = shape.where(~is_collapsed(F.col("n"), F.col("k"), F.col("h"), 11)).groupBy("page_id", "batch_no").agg(F.min("attempt").alias("attempt"))
+    shape = collapsed_batches(answers, letters)
+    good = shape.where("NOT collapsed").groupBy("page_id", "batch_no").agg(F.min("attempt").alias("attempt"))
     held = answers.join(good, ["page_id", "batch_no", "attempt"], "left_semi")
     doubt = asked.join(shape.select("page_id", "batch_no").distinct(), ["page_id", "batch_no"], "left_semi").join(good.select("page_id", "batch_no"), ["page_id", "batch_no"], "left_anti")
     return held, doubt
 
 
+def by_span(answers: DataFrame, batches: DataFrame) -> DataFrame:
+    """Answers with the span_id that their local_id stands for in the batch; ids that the batch doesn't hold are dropped."""
+    return answers.join(batches.select("page_id", "batch_no", "local_id", "span_id"), ["page_id", "batch_no", "local_id"])
+
+
+def opinions(decisions: DataFrame, name: str, source: str) -> DataFrame:
+    """(page_id, span_id, name): a struct (action, source, reason) a decided line, as the merge wants it."""
+    return decisions.select("page_id", "span_id", F.struct("action", F.lit(source).alias("source"), "reason").alias(name))
+
+
+def degraded_pages(queue: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(page_id, degraded): pages with lines to judge; degraded where not one of them got a decision."""
+    some = decisions.select("page_id", F.lit(False).alias("none")).distinct()
+    return queue.select("page_id").distinct().join(some, "page_id", "left").select("page_id", F.col("none").isNull().alias("degraded"))
+
+
+def contested(queue: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Lines of the queue that a second opinion should settle (page_id, span_id of :func:`referee_queue`)."""
+    return queue.join(chosen, ["page_id", "span_id"], "left_semi")
+
+
+def summary_line(reply: Column, most: int = 60) -> Column:
+    """The first line of a reply, cut; null if it is blank."""
+    line = F.left(F.element_at(F.split(trimmed(reply), r"\r\n|\n|\r"), 1), F.lit(most))
+    return F.when(~is_blank(line), line)
+
+
+def doctype_tag(summary: Column, most: int = 40) -> Column:
+    """A summary as one word for logs; a dash without one."""
+    return F.coalesce(F.left(F.replace(summary, F.lit(" "), F.lit("_")), F.lit(most)), F.lit("-"))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a reliable checkpoint in ``spark.checkpoint.dir``; a session on one machine without that setting gets a folder of its own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='veilspan-')}")
+    return df.checkpoint()
+
+
+def run_cascade(decided: DataFrame, workhorse: Callable, referee: Callable) -> DataFrame:
+    """The lines of ``decided`` (with det, hints, role, label_text, neighbours) with work, referee, degraded and doubt, ready to be merged.
+
+    Open lines are batched and judged by lists of letters; a collapsed batch is asked once more; replies become decisions on spans;
+    pages without any are degraded. Of the others, contested lines go to the referee. ``workhorse`` and ``referee`` make a judge
+    (:func:`judge`). The decided lines, the queue and each model's replies are checkpointed in the shared folder, as several joins read them
+    and a model should be asked once.
+    """
+    decided = kept(decided)
+    queue = kept(batched(decided.where(F.col("det").isNull() & ~is_blank(F.col("text")))))
+    prompts = workhorse_prompts(queue, letters=True)
+    first = parse_hide_lists(kept(judge(with_system(prompts, "WORKHORSE", letters=True), workhorse)), queue)
+    again = parse_hide_lists(kept(judge(retry_prompts(prompts, first), workhorse)), queue)
+    answers = first.withColumn("attempt", F.lit(1)).unionByName(again.withColumn("attempt", F.lit(2)))
+    held, doubt = settle_batches(answers, queue)
+    held = kept(by_span(held, queue))
+    pages = degraded_pages(queue, held)
+    rows = decided.join(opinions(held, "work", "WORKHORSE"), ["page_id", "span_id"], "left").join(pages, "page_id", "left")
+    rows = rows.join(doubt.select("page_id", "span_id", F.lit(True).alias("doubt")), ["page_id", "span_id"], "left")
+    rows = kept(rows.withColumns({"degraded": F.coalesce("degraded", F.lit(False)), "doubt": F.coalesce("doubt", F.lit(False))}))
+    asked = rows.where(F.col("det").isNull() & ~is_blank(F.col("text")) & ~F.col("degraded")).withColumn("work", F.col("work.action"))
+    second = kept(batched(contested(asked, referee_queue(asked)), REFEREE_BATCH))
+    settled = by_span(parse_hide_lists(judge(with_system(referee_prompts(second, letters=True), "REFEREE", letters=True), referee), second), second)
+    return rows.join(opinions(settled, "referee", "REFEREE"), ["page_id", "span_id"], "left")
+
+
 def referee_queue(spans: DataFrame, cap: int = QUEUE_CAP) -> DataFrame:
     """(page_id, span_id, priority) of lines that a second opinion should settle; needs role, hints, work (action or null) and doubt.
 

@@ -57,13 +57,25 @@ def masked_pages(merged: DataFrame) -> DataFrame:
     return merged.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["x"]), "\n").alias("text"))
 
 
+def _padding() -> Column:
+    return F.greatest(F.lit(3), ((F.col("b") - F.col("t")) * F.lit(0.12)).cast("int"))
+
+
 def bars(merged: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(page_id, span_id, l, t, r, b, radius): boxes over hidden lines, grown by 0.12 of their height (3 at least)."""
-    pad = F.greatest(F.lit(3), ((F.col("b") - F.col("t")) * F.lit(0.12)).cast("int"))
-    rows = hidden(merged).join(sizes, "page_id").withColumn("x", G.inflate(F.col("l"), F.col("t"), F.col("r"), F.col("b"), pad, F.col("width"), F.col("height")))
+    """(page_id, span_id, l, t, r, b, radius): boxes over hidden lines, grown by 0.12 of their height (3 at least). Lines with a slanted
+    quad, where there is a column of quads, have a path instead (:func:`slanted_bars`)."""
+    rows = hidden(merged)
+    if "quad" in merged.columns:
+        rows = rows.where(~G.is_slanted(F.col("quad")))
+    rows = rows.join(sizes, "page_id").withColumn("x", G.inflate(F.col("l"), F.col("t"), F.col("r"), F.col("b"), _padding(), F.col("width"), F.col("height")))
     return rows.select("page_id", "span_id", "x.l", "x.t", "x.r", "x.b", F.round(F.least(F.lit(10.0), (F.col("x.b") - F.col("x.t")) * F.lit(0.12)), 4).alias("radius"))
 
 
+def slanted_bars(merged: DataFrame) -> DataFrame:
+    """(page_id, span_id, path): corners of the bars over hidden lines whose quad is slanted, grown along the quad's own axes."""
+    return hidden(merged).where(G.is_slanted(F.col("quad"))).select("page_id", "span_id", G.inflate_quad(F.col("quad"), _padding()).alias("path"))
+
+
 def hit_test(spans: DataFrame, taps: DataFrame, slop: int = 0) -> DataFrame:
     """(tap_id, page_id, span_id): the smallest line under each tap (tap_id, page_id, x, y), if any; ties go to the first line.
     Taps meet the lines of their page only."""

@@ -69,10 +69,8 @@ def share_warning(n: Column, hides: Column, width: Column, height: Column, media
     """Struct (reason, message) before an export, or null: skewed pages first, then large pages with little text and nothing hidden."""
     pixels = width * height / F.lit(1e6)
     found = F.when(n == 1, F.lit("1 text region was")).otherwise(F.concat(n.cast("string"), F.lit(" text regions were")))
-    skewed = F.concat(F.lit("This page looks rotated about "), median_skew.cast("int").cast("string"), F.lit(
-        "°. Text at an angle is read less reliably, so some details may not have been found or covered. Retaking it straight-on is safer."))
-    sparse = F.when(n == 0, F.lit("No text was recognised in this image, so nothing has been redacted.")).otherwise(F.concat(F.lit("Only "), found, F.lit(
-        " recognised in this image and nothing has been redacted. If the photo is blurred or at an angle, details may still be readable.")))
+    skewed = F.concat(F.lit("The page is tilted by about "), median_skew.cast("int").cast("string"), F.lit("°; tilted lines are easily missed, so check the bars or take the picture again."))
+    sparse = F.when(n == 0, F.lit("No line of text was found, so no bar was drawn.")).otherwise(F.concat(F.lit("Only "), found, F.lit(" found and no bar was drawn; look whether more can be read.")))
     w = lambda reason, message: F.struct(F.lit(reason).alias("reason"), message.alias("message"))
     return F.when(median_skew >= 8, w("SKEWED", skewed)).when((hides == 0) & (pixels >= 0.3) & (n / F.nullif(pixels, F.lit(0.0)) < 4), w("SPARSE_TEXT", sparse))
 
@@ -128,9 +126,61 @@ def confusion(scored: DataFrame) -> DataFrame:
     return rows.select("tp", "fp", "fn", "tn", "unmatched", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "over_redaction")])
 
 
-def stats_line(merged: DataFrame) -> DataFrame:
-    """(page_id, value): key=value statistics of a page."""
-    rows = merged.groupBy("page_id").agg(F.count("*").alias("spans"), F.count_if(F.col("det").isNotNull()).alias("cpu_det"), upper_median(F.collect_list(F.col("b") - F.col("t"))).alias("median_h"),
-                                         *[F.count_if(F.col("action") == a).alias(a.lower()) for a in ("HIDE", "KEEP", "UNSURE")], F.max("degraded").alias("degraded"))
-    return rows.select("page_id", F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in rows.columns[1:]]).alias("value"))
+def stage_reports(pages: DataFrame) -> DataFrame:
+    """(page_id, seq, silicon, task, status, span_count, elapsed_ms, note): the reports of a page's stages in order.
 
+    Pages have n_det, queue, npu_reason, degraded, n_work, work_ms, skip, n_referee and referee_ms. The classifier's slot never decides
+    anything and says so. A page without open lines ends there; one whose judge gave nothing has a failed stage and no more.
+    """
+    r = lambda silicon, task, status, n, ms, note: F.struct(F.lit(silicon).alias("silicon"), F.lit(task).alias("task"), F.lit(status).alias("status") if isinstance(status, str) else status.alias("status"),
+                                                            n.cast("long").alias("span_count"), ms.cast("long").alias("elapsed_ms"), note.cast("string").alias("note"))
+    zero, no = F.lit(0), F.lit(None)
+    left = F.concat(F.col("queue").cast("string"), F.lit(" left for the models"))
+    cpu = r("CPU", "det", "OK", F.col("n_det"), zero, left)
+    npu = r("NPU", "classifier", "SKIPPED", zero, zero, F.col("npu_reason"))
+    failed = r("GPU", "workhorse", "FAILED", zero, zero, F.lit("no reply"))
+    work = r("GPU", "workhorse", "OK", F.col("n_work"), F.col("work_ms"), no)
+    ran = F.col("skip").isNull() & (F.col("n_referee") > 0)
+    second = F.when(ran, r("GPU", "referee", "OK", F.col("n_referee"), F.col("referee_ms"), no)).otherwise(r("GPU", "referee", "SKIPPED", zero, zero, F.coalesce("skip", F.lit("nothing contested"))))
+    stages = F.when(F.col("queue") == 0, F.array(cpu, npu)).when(F.col("degraded"), F.array(cpu, npu, failed)).otherwise(F.array(cpu, npu, work, second))
+    return pages.select("page_id", F.posexplode(stages).alias("seq", "x")).select("page_id", "seq", "x.*")
+
+
+def paired_runs(runs: DataFrame, first: str = "full", second: str = "workhorse") -> DataFrame:
+    """(case_id, hides, hides_other, delta, total_ms, total_ms_other) of cases that ran in both modes; runs have case_id, mode, hide_count,
+    total_ms, one row a case and mode. The join is on the case, so its size is that of the runs."""
+    own = lambda mode, tail: runs.where(F.col("mode") == mode).select("case_id", F.col("hide_count").alias(f"hides{tail}"), F.col("total_ms").alias(f"total_ms{tail}"))
+    return own(first, "").join(own(second, "_other"), "case_id").select("case_id", "hides", "hides_other", (F.col("hides") - F.col("hides_other")).alias("delta"), "total_ms", "total_ms_other")
+
+
+def pair_medians(pairs: DataFrame, bugs: DataFrame) -> DataFrame:
+    """One row: pairs, true medians of hides and times by mode, and cases with a hidden label, by mode; bugs have case_id, mode and label_hidden."""
+    bad = lambda mode: F.coalesce(F.max(F.col("label_hidden") & (F.col("mode") == mode)), F.lit(False))
+    rows = pairs.join(bugs.groupBy("case_id").agg(bad("full").alias("bad"), bad("workhorse").alias("bad_other")), "case_id", "left")
+    medians = [F.median(c).alias(f"median_{c}") for c in ("hides", "hides_other", "total_ms", "total_ms_other")]
+    return rows.agg(F.count("*").alias("n"), *medians, F.count_if("bad").alias("label_cases"), F.count_if("bad_other").alias("label_cases_other"))
+
+
+def timing_bands(timings: DataFrame) -> DataFrame:
+    """(doc_type, n, median_ms, min_ms, max_ms): the true median and range of total_ms; partial aggregates a type."""
+    return timings.groupBy("doc_type").agg(F.count("*").alias("n"), F.median("total_ms").alias("median_ms"), F.min("total_ms").alias("min_ms"), F.max("total_ms").alias("max_ms"))
+
+
+#: The statistics of a page, in the order of the line.
+STATS = ["spans", "ocr_ms", "wall_ms", "deskew", "cpu_det", "llm_spans", "median_h", "workhorse_ms", "summary_ms", "referee_ms", "total_ms", "hide", "keep", "unsure",
+         "referee_queue", "backend", "referee_skip", "degraded", "doctype"]
+
+
+def stats_line(merged: DataFrame, runs: DataFrame) -> DataFrame:
+    """(page_id, value): the page's statistics (STATS) as key=value; runs have a row a page with what isn't counted from its lines: ocr_ms,
+    wall_ms, deskew, llm_spans, workhorse_ms, summary_ms, referee_ms, backend, referee_skip and doctype, null where a stage didn't run."""
+    rows = merged.groupBy("page_id").agg(
+        F.count("*").alias("spans"), F.count_if(F.col("det").isNotNull()).alias("cpu_det"), upper_median(F.collect_list(F.col("b") - F.col("t"))).alias("median_h"),
+        *[F.count_if(F.col("action") == a).alias(a.lower()) for a in ("HIDE", "KEEP", "UNSURE")], F.count_if(F.col("referee").isNotNull()).alias("referee_queue"), F.max("degraded").alias("degraded"))
+    ms = lambda c: F.coalesce(F.col(c), F.lit(0))
+    rows = rows.join(runs, "page_id", "left").withColumns({
+        **{c: ms(c) for c in ("ocr_ms", "llm_spans", "workhorse_ms", "summary_ms", "referee_ms")}, "wall_ms": F.coalesce("wall_ms", F.lit(-1)),
+        "deskew": F.format_string("%.1f", F.coalesce(F.col("deskew").cast("double"), F.lit(0.0))), "backend": F.coalesce("backend", F.lit("none")),
+        "referee_skip": F.coalesce(F.substring_index("referee_skip", ":", 1), F.lit("-")), "doctype": F.coalesce("doctype", F.lit("-"))})
+    rows = rows.withColumn("total_ms", F.col("workhorse_ms") + F.col("summary_ms") + F.col("referee_ms"))
+    return rows.select("page_id", F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in STATS]).alias("value"))
