@@ -301,6 +301,67 @@ def test_language(spark, awkward):
     assert {r.lang_pred for r in langid.predict_language(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_scores_are_those_of_dense_kernel_ridge():
+    """Nystroem features and their ridge regression against the same problem solved in the span of the landmarks' kernels."""
+    rng = random.Random(7)
+    words = [["".join(rng.choice(a) for _ in range(5)) for _ in range(9)] for a in ("abcdefg", "efghijkl", "mnopqabc")]
+    langs = [f"l{k % 3}" for k in range(36)]
+    texts = [" ".join(rng.choice(words[k % 3]) for _ in range(20)) for k in range(36)]
+    clf = langid.fit(texts, langs, landmarks=4, grams=300, ridge=0.05)
+    data, at = langid._of_texts(texts)
+    x = langid.presence(data, at, clf.column, clf.width).astype(float)
+    z = clf.landmarks.astype(float).T
+    assert z.shape[0] == 12 and all(any(np.allclose(row, own) for own in x) for row in z)
+    kxz, kzz, y = x @ z.T, z @ z.T, np.array([[1.0 if f"l{k}" == n else -1.0 for k in range(3)] for n in langs])
+    w = np.full((36, 1), 1 / 12)
+    design = np.hstack([kxz, np.ones((36, 1))])
+    penalty = np.zeros((13, 13))
+    penalty[:12, :12] = 0.05 * kzz
+    penalty[12, 12] = 1e-9
+    alpha = np.linalg.lstsq(design.T @ (design * w) + penalty, design.T @ (y * w), rcond=1e-12)[0]
+    assert np.allclose(clf.scores(x.astype(np.float32)), design @ alpha, atol=2e-3)
+
+
+def test_toxicity_end_to_end_against_loops(spark, docs, labels):
+    """Features by dictionary, forward and backward by loops over a sentence, and the document's score, with the trained weights."""
+    crf = toxicity.train(docs, labels)
+    assert crf is not None
+    number = {int(h): k for k, h in enumerate(crf.keys)}
+
+    def brute(text):
+        _, _, block = next(blocks(pa.array([text])))
+        t = toxicity.tokenize(block)
+        n, p = len(t.start), []
+        own = [{number[int(h[i])] for h in t.hashes if int(h[i]) in number} for i in range(n)]
+        i = 0
+        while i < n:
+            j = i
+            while j < n and t.sentence[j] == t.sentence[i]:
+                j += 1
+            emit = [crf.bias + sum(crf.own[k] for k in own[x]) + sum(crf.side[k] for y in (x - 1, x + 1) if i <= y < j for k in own[y]) for x in range(i, j)]
+            score = lambda a, x: emit[x] if a else 0.0  # noqa: E731, B023
+            ahead = [[score(a, 0) for a in (0, 1)]]
+            for x in range(1, j - i):
+                ahead.append([score(a, x) + np.logaddexp(ahead[-1][0] + crf.step[0, a], ahead[-1][1] + crf.step[1, a]) for a in (0, 1)])
+            behind = [[0.0, 0.0]]
+            for x in range(j - i - 2, -1, -1):
+                behind.insert(0, [np.logaddexp(*(crf.step[a, b] + score(b, x + 1) + behind[0][b] for b in (0, 1))) for a in (0, 1)])
+            z = np.logaddexp(*ahead[-1])
+            p += [math.exp(ahead[x][1] + behind[x][1] - z) for x in range(j - i)]
+            i = j
+        top = sorted(p, reverse=True) + [0.0, 0.0]
+        total = sum(x for x in p if x >= 0.05)
+        f = (np.array([math.log1p(total), math.log(total / max(n, 1) + 1e-4), top[0], top[1]]) - crf.mean) / crf.sd
+        return 1 / (1 + math.exp(-max(-30, min(30, float(f @ crf.doc[:-1] + crf.doc[-1]))))), p, t
+
+    texts = {r.doc_id: r.text for r in docs.collect() if r.text and len(r.text) < 3000}
+    got = {r.id: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    for i in sorted(texts)[:60]:
+        score, p, t = brute(texts[i])
+        assert math.isclose(got[i].score, score, abs_tol=1e-6)
+        assert sum(x >= 0.5 for x in p) >= len(got[i].spans) and all(any(s.start <= t.start[k] and t.end[k] <= s.end for s in got[i].spans) for k in range(len(p)) if p[k] >= 0.5)
+
+
 def test_every_language_is_learned(spark):
     """More than 64 languages, one of them with long texts only, many rows and few."""
     rng = random.Random(5)

@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Block, blocks, mix, small_batches
+from .common import SPACE, Block, blocks, drop_table, mix, small_batches, write_table
 
 #: Length of the shared character q-grams, and the edits allowed for each character of a passage.
 Q, EDIT_RATE = 12, 0.06
@@ -200,14 +200,18 @@ def _search(block: Block, index: Index, q: int):
 _SCHEMA = "id long, item_id long, edits int, budget int, start long, end long"
 
 
-def _indexes(spark: SparkSession, benchmark: DataFrame, q: int, rate: float) -> Iterator[Broadcast]:
-    """The broadcast index of each pass: parts of the benchmark of about INDEX_CHARS."""
+def _indexes(spark: SparkSession, benchmark: DataFrame, q: int, rate: float) -> Iterator[tuple[Broadcast, bool]]:
+    """The broadcast index of each pass, a part of the benchmark of about INDEX_CHARS, and whether it is the only one. Where there are
+    several the caller writes a pass's rows before it asks for the next index, and the one before goes."""
     items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("t IS NOT NULL AND length(t) > 0")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     passes = max(1, -(-total // INDEX_CHARS))
     for part in range(passes):
         own = sorted(items.where(F.pmod(F.xxhash64("t"), F.lit(passes)) == part).collect(), key=lambda r: (r.i is None, r.i or 0, r.t))
-        yield spark.sparkContext.broadcast(build_index([(r.i, r.t) for r in own], q, rate))
+        index = spark.sparkContext.broadcast(build_index([(r.i, r.t) for r in own], q, rate))
+        yield index, passes == 1
+        if passes > 1:
+            index.destroy()
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = Q, rate: float = EDIT_RATE) -> DataFrame:
@@ -219,14 +223,14 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Passages shorter than q are looked for as they are. start and end are byte offsets in the text's UTF-8.
 
     Documents aren't shuffled. The index is broadcast: its size is bounded by INDEX_CHARS, and a larger benchmark is searched in
-    several passes of that size. Null and empty texts and passages hold and match nothing; repeated rows are reported each;
+    several passes of that size, one after the other, so one index is held at a time. Null and empty texts and passages hold and match nothing; repeated rows are reported each;
     repeated item ids count as separate passages. Rows with a null id are reported with a null id. Empty tables give no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     out = None
-    for index in _indexes(spark, benchmark, q, rate):
+    for index, alone in _indexes(spark, benchmark, q, rate):
 
         def run(batches, index=index):
             known = index.value
@@ -243,6 +247,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["id", "item_id", "edits", "budget", "start", "end"])
 
         got = rows.mapInArrow(run, _SCHEMA)
+        got = got if alone else write_table(got, "passages")
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -252,7 +257,7 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "tex
     spark = docs.sparkSession
     small_batches(spark)
     at = docs.columns.index(text_col)
-    for index in _indexes(spark, benchmark, q, rate):
+    for index, alone in _indexes(spark, benchmark, q, rate):
 
         def run(batches, index=index):
             known = index.value
@@ -263,5 +268,9 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "tex
                     clean[[lo + d for d, _ in _search(normal, known, q)]] = False
                 yield b.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        left = docs.mapInArrow(run, docs.schema)
+        if not alone:
+            left = write_table(left, "without-passages")
+            drop_table(docs)
+        docs = left
     return docs

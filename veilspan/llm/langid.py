@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +75,7 @@ class Classifier:
 
 
 def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, grams: int = GRAMS, ridge: float = RIDGE) -> Classifier | None:
-    """K(x, z) is the share of n-grams present in both; landmarks are the first texts of each language; ridge regression of one
+    """K(x, z) is the share of n-grams present in both; landmarks are texts of each language, the first by a seeded hash; ridge regression of one
     language against the rest in the landmarks' space (K_zz to the power -1/2). n-grams: those that differ most between languages."""
     names = sorted(set(langs))
     if not names:
@@ -98,7 +99,8 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, grams: i
     column = np.full(1 << BITS, len(chosen), np.int32)
     column[chosen] = np.arange(len(chosen))
     x = presence(data, at, column, len(chosen))
-    z = np.concatenate([np.flatnonzero(y == k)[:landmarks] for k in range(len(names))])
+    drawn = np.argsort([xxhash.xxh64_intdigest(t.encode(), 5) for t in texts], kind="stable")
+    z = np.concatenate([drawn[y[drawn] == k][:landmarks] for k in range(len(names))])
     lm = x[z].T.astype(np.float64)
     values, vectors = np.linalg.eigh(lm.T @ lm)
     good = values > 1e-6
