@@ -168,7 +168,7 @@ def test_whole_forms(spark, tiny, monkeypatch):
 def test_replies_reach_their_spans(spark):
     """Local ids become span ids, others go; pages without any decision are degraded; the bar is the reply format's."""
     queue = spark.createDataFrame([(p, s, 0, s - 9) for p in (1, 2) for s in range(10, 20)], "page_id long, span_id int, batch_no int, local_id int")
-    said = spark.createDataFrame([(1, 0, 1, i, "HIDE" if i < 9 else "KEEP", "listed") for i in [*range(1, 11), 77]], "page_id long, batch_no int, attempt int, local_id int, action string, reason string")
+    said = spark.createDataFrame([(1, 0, 1, i, "HIDE" if i < 10 else "KEEP", "listed") for i in [*range(1, 11), 77]], "page_id long, batch_no int, attempt int, local_id int, action string, reason string")
     assert sorted(r.span_id for r in cascade.by_span(said, queue).collect()) == list(range(10, 20))
     held, doubt = cascade.settle_batches(said, queue, letters=True)
     assert held.count() == 11 and doubt.count() == 0
