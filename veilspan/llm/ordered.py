@@ -22,7 +22,8 @@ def running_sums(rows: DataFrame, group: str, order: list[str], sums: dict[str,
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = [f"_s{k}" for k in range(len(sums))]
     keys = [group, *order, _HERE[1]]
-    dealt = rows.withColumns({_HERE[1]: F.monotonically_increasing_id(), **dict(zip(names, sums.values()))})
+    # ranges are drawn from a first reading of the rows, so what they are made of is computed once and written
+    dealt = write_table(rows.withColumns({_HERE[1]: F.monotonically_increasing_id(), **dict(zip(names, sums.values()))}), "keys")
     dealt = dealt.repartitionByRange(n, *keys).withColumn(_HERE[0], F.spark_partition_id())
     part = Window.partitionBy(_HERE[0], group).orderBy(*keys[1:])
     before = part.rowsBetween(Window.unboundedPreceding, -1)
