@@ -659,3 +659,16 @@ def test_forest_of_a_concentrated_label():
     for row, code in zip(*forest.leaves(other)):
         leaves[row].add(int(code))
     assert len(i) > 500 and np.mean([bool(leaves[a] & leaves[b]) for a, b in zip(i, j)]) >= 0.9
+
+
+def test_pairs_count_in_the_first_leaf_they_share(monkeypatch):
+    monkeypatch.setattr(embeddings, "LOOKUPS", 50)
+    rng = np.random.default_rng(5)
+    own = [sorted(rng.choice(40, rng.integers(0, 9), replace=False).tolist()) for _ in range(60)]
+    order = rng.permutation(60)
+    for code in (0, 1, 17, 39):
+        before = [[c for c in codes if c < code] for codes in own]
+        keys = embeddings._earlier_leaves(pa.table({"before": pa.array(before, pa.list_(pa.int32()))}), order, code)
+        i, j = np.triu_indices(60, 1)
+        got = embeddings._share_earlier(keys, i, j, code)
+        assert got.tolist() == [bool(set(before[order[a]]) & set(before[order[b]])) for a, b in zip(i, j)]

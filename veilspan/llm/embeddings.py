@@ -20,6 +20,8 @@ RECALL, OWN_PAIRS, MOST_PAIRS, SPILLS = 0.95, 256, 512, (SPILL, 0.1, 0.15)
 RADIUS = 0.93
 #: Vectors of a leaf that one comparison takes; larger leaves are cut into slices that meet pair by pair.
 SLICE = 2048
+#: Leaves that one step looks up when pairs are counted in the first leaf they share.
+LOOKUPS = 1 << 19
 
 
 @dataclass
@@ -188,12 +190,32 @@ def _stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def _shared_first(a: list[np.ndarray], i: np.ndarray, j: np.ndarray, code: int) -> np.ndarray:
-    """Whether ``code`` is the smallest leaf that the two vectors share; their leaf codes are sorted."""
-    out = np.ones(len(i), bool)
-    for k in range(len(i)):
-        x, y = a[i[k]], a[j[k]]
-        out[k] = np.intersect1d(x[: np.searchsorted(x, code)], y[: np.searchsorted(y, code)], assume_unique=True).size == 0
+def _earlier_leaves(table: pa.Table, order: np.ndarray, code: int) -> np.ndarray:
+    """position * code + leaf, sorted, for each leaf before ``code`` of the vectors at the positions of ``order``."""
+    raw = table["before"].combine_chunks()
+    at = np.asarray(raw.offsets, np.int64)
+    position = np.empty(len(order), np.int64)
+    position[order] = np.arange(len(order))
+    return np.sort(np.repeat(position, np.diff(at)) * code + np.asarray(raw.values)[at[0] : at[-1]])
+
+
+def _share_earlier(keys: np.ndarray, i: np.ndarray, j: np.ndarray, code: int) -> np.ndarray:
+    """Whether the vectors at positions i and j share a leaf before ``code``: each of i's is looked up among j's."""
+    out = np.zeros(len(i), bool)
+    if not len(keys):
+        return out
+    first = np.searchsorted(keys, i * code)
+    many = np.searchsorted(keys, (i + 1) * code) - first
+    lo, ends = 0, np.cumsum(many)
+    while lo < len(i):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - many[lo] + LOOKUPS, "right")))
+        n = many[lo:hi]
+        pair = np.repeat(np.arange(lo, hi), n)
+        own = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + first[pair]
+        sought = keys[own] + (j - i)[pair] * code
+        at = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+        out[pair[keys[at] == sought]] = True
+        lo = hi
     return out
 
 
@@ -206,10 +228,8 @@ def _leaf_links(table: pa.Table, radius: float) -> pa.Table:
     flat = table["vec"].combine_chunks()
     x = np.asarray(flat.flatten(), np.float64).reshape(len(reps), -1)[order]
     x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-    raw = table["leaves"].combine_chunks()
-    at, codes_flat = np.asarray(raw.offsets), np.asarray(raw.values)
-    codes = [codes_flat[at[k] : at[k + 1]] for k in order]
     code, a, b = (table[c][0].as_py() for c in ("code", "a", "b"))
+    earlier = _earlier_leaves(table, order, code)
     links, all_i, all_j = np.zeros(len(reps), np.int64), [], []
     for lo in range(0, len(reps), 512):
         sims = x[lo : lo + 512] @ x[lo:].T
@@ -226,7 +246,7 @@ def _leaf_links(table: pa.Table, radius: float) -> pa.Table:
             bad = np.flatnonzero(near)[exact < radius]
             i, j = np.delete(i, bad), np.delete(j, bad)
         all_i.append(i), all_j.append(j)
-        first = _shared_first(codes, i, j, code)
+        first = ~_share_earlier(earlier, i, j, code)
         np.add.at(links, i[first], many[j[first]])
         np.add.at(links, j[first], many[i[first]])
     none = np.zeros(0, np.int64)
@@ -260,16 +280,17 @@ def _linked_classes(rows: DataFrame, dims: int, radius: float, trees: int) -> Da
             order = np.lexsort((code, row))
             row, code = row[order], code[order]
             at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(at), pa.array(code))], ["vec", "label", "rep", "copies", "leaves"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(at), pa.array(code.astype(np.int32)))], ["vec", "label", "rep", "copies", "leaves"])
 
-    placed = classes.select("vec", "label", "rep", "copies").mapInArrow(index, "vec array<double>, label string, rep long, copies long, leaves array<long>")
-    in_leaf = placed.withColumn("code", F.explode("leaves"))
+    placed = classes.select("vec", "label", "rep", "copies").mapInArrow(index, f"vec {rows.schema['vec'].dataType.simpleString()}, label string, rep long, copies long, leaves array<int>")
+    # a vector takes along the leaves before this one only: they tell whether a pair was counted already
+    in_leaf = placed.select("*", F.posexplode("leaves").alias("p", "code")).withColumn("before", F.slice("leaves", F.lit(1), F.col("p")))
     counts = in_leaf.groupBy("label", "code").agg(F.count("*").alias("n")).where("n > 1")
     slices = F.ceil(F.col("n") / F.lit(SLICE)).cast("int")
     own = F.pmod(F.xxhash64(F.lit("slice"), "rep"), slices).cast("int")
     meet = F.transform(F.sequence(F.lit(0), slices - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("a"), F.greatest(o, F.col("own")).alias("b")))
     groups = in_leaf.join(counts, ["label", "code"]).withColumn("own", own).withColumn("m", F.explode(meet)).select(
-        "label", "code", F.col("m.a").alias("a"), F.col("m.b").alias("b"), "own", "vec", "rep", "copies", "leaves")
+        "label", "code", F.col("m.a").alias("a"), F.col("m.b").alias("b"), "own", "vec", "rep", "copies", "before")
     found = write_table(groups.groupBy("label", "code", "a", "b").applyInArrow(lambda t: _leaf_links(t, radius), "a long, b long, n long"), "links")
     links = found.groupBy("a").agg(F.sum("n").alias("n"))
     roots = connected_components(found.select("a", "b")).select(F.col("node").alias("a"), "root")
@@ -296,12 +317,14 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    vec = F.transform(F.col(vec_col), lambda v: v.cast("double"))
+    # floats stay floats on their way, and become doubles where they are compared
+    number = "float" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+    vec = F.transform(F.col(vec_col), lambda v: v.cast(number))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), vec.alias("vec"))
     bad = F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     good = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("vec") > 0) & ~bad, F.lit(False))
     # zero, or so small or large that the length has no double
-    length = F.aggregate(F.when(good, F.col("vec")).otherwise(F.array().cast("array<double>")), F.lit(0.0), lambda s, v: s + v * v)
+    length = F.aggregate(F.when(good, F.col("vec")).otherwise(F.array().cast(f"array<{number}>")), F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     rows = rows.withColumn("ok", good & (length > 0) & (length < float("inf")))
     lengths = [r.d for r in rows.where("ok").select(F.size("vec").alias("d")).distinct().orderBy("d").collect()]
     if not lengths:
