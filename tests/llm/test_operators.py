@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -245,6 +246,27 @@ def test_lm_score_is_the_marginal_over_all_segmentations(spark, docs):
     assert sorted((str(r.id), round(r.score, 4)) for r in lattice.score_texts(table, path, group_bytes=20_000).collect()) == sorted(want)
 
 
+def test_lm_counts_hold_a_step_of_text_at_a_time():
+    pieces = lattice.read_pieces(queries._vocabulary("piece_bpe_32k.model"))
+    model = lattice._model(lattice.Pieces.of([p for p, _ in pieces]), np.array([w for _, w in pieces]))
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 9))) for _ in range(4000)] + ["Q" * 60]
+    texts = [" ".join(rng.choices(words, k=1000)) for _ in range(1300)] + [""]
+    train = np.arange(len(texts)) % 3 > 0
+    column = pa.chunked_array([pa.array(texts[:500]), pa.array([], pa.string()), pa.array(texts[400:])[100:]])
+    tracemalloc.start()
+    h, c, total = lattice.count_words(column, train, model)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    want = Counter(w for t, on in zip(texts, train) if on for w in t.lower().split())
+    assert sorted(c[c > 0].astype(int).tolist()) == sorted(want.values()) and (np.diff(h.astype(object)) > 0).all()
+    spelled = [b" " + w.encode() for w in want]
+    expect, weight = np.zeros(len(total)), np.array(list(want.values()), float)
+    lattice.WordLattice(spelled, model.pieces).expect(model.logp, weight, expect)
+    assert np.allclose(total, expect)
+    assert sum(map(len, texts)) > 8_000_000 and peak < 130, peak
+
+
 def test_lm_base_and_scores(spark, docs, awkward):
     path = queries._vocabulary("piece_bpe_32k.model")
     for table in (docs, awkward):
