@@ -57,23 +57,31 @@ _NEEDS = {"UPI": ("EMAIL",), "PHONE": _EARLY, "PIN": (*_EARLY, "PHONE")}
 _PATTERNS = {"EMAIL": EMAIL, "UPI": UPI, "IFSC": IFSC, "URL": URL, "IP": IP, "PAN": PAN, "PASSPORT": PASSPORT, "AADHAAR": AADHAAR, "DATE": DATE, "MONEY": MONEY,
              "ACCOUNT": ACCOUNT, "CARD": CARD, "MASKED": MASKED_CARD, "PHONE": PHONE, "PIN": PIN}
 
+_SPACE = r"[\t\n\f\r \-.]?"
+#: The wording of SQL engines that can't look around: a card number is a whole word of ASCII, and what stands beside a phone number is used
+#: up with it, so a number right behind another one lacks its first mark. No other kinds have such a wording.
+PLAIN = {
+    "EMAIL": EMAIL, "IP": IP, "CARD": r"(?<![A-Za-z0-9_])(?:[0-9][ \-]?){12,18}[0-9](?![A-Za-z0-9_])",
+    "PHONE": rf"(?:\A|[^0-9])((?:\+?[0-9]{{1,3}}{_SPACE})?(?:\([0-9]{{2,5}}\){_SPACE})?[0-9]{{3,5}}{_SPACE}[0-9]{{3,5}}(?:{_SPACE}[0-9]{{2,4}})?)(?:\z|[^0-9])",
+}
+
 
-def hints_of(text: Column, kinds: tuple[str, ...] = tuple(KINDS)) -> Column:
+def hints_of(text: Column, kinds: tuple[str, ...] = tuple(KINDS), wording: dict[str, str] = _PATTERNS) -> Column:
     """The identifiers of a line in order of detection, the first of each kind and match; null and blank lines have none.
 
     Later kinds look at earlier ones: a UPI handle inside an e-mail address, a phone number that shares its digits with an earlier
     match and a PIN inside one are dropped. Only the kinds asked for, and those that they look at, are searched. Every step is bound
     as a lambda variable, so a pattern is in the plan once and runs once a line; it runs at all only where the line holds what any
-    match has (a digit, an @, a link's start).
+    match has (a digit, an @, a link's start). Kinds without a pattern in ``wording`` are not searched.
     """
-    search = {k for kind in kinds for k in (kind, *_NEEDS.get(kind, ()))}
-    patterns = {k: p for k, p in _PATTERNS.items() if k in search or (k == "MASKED" and "CARD" in search)}
+    search = {k for kind in kinds for k in (kind, *_NEEDS.get(kind, ())) if k in wording}
+    patterns = {k: p for k, p in wording.items() if k in search or (k == "MASKED" and "CARD" in search)}
     none = F.array().cast("array<string>")
 
     def candidates(line: Column) -> Column:
         t, low = line["t"], F.lower(line["t"])
         has = {"EMAIL": line["at"], "UPI": line["at"], "URL": F.contains(low, F.lit("://")) | F.contains(low, F.lit("www."))}
-        return F.struct(*[F.when(has.get(k, line["digit"]), find_all(t, p, int(k == "ACCOUNT"))).otherwise(none).alias(k) for k, p in patterns.items()])
+        return F.struct(*[F.when(has.get(k, line["digit"]), find_all(t, p, int(k == "ACCOUNT" or (k == "PHONE" and wording is PLAIN)))).otherwise(none).alias(k) for k, p in patterns.items()])
 
     def cards(found: Column) -> Column:
         return F.transform(F.filter(found["CARD"], lambda m: F.length(digits(m)).between(13, 19)), trimmed)
@@ -86,7 +94,7 @@ def hints_of(text: Column, kinds: tuple[str, ...] = tuple(KINDS)) -> Column:
         }
         strong = {"DATE": False, "MONEY": False, "CARD": lambda m: F.call_function("luhn_check", digits(m))}
         parts = [_as_hints(own[k]() if k in own else found[k], k, strong.get(k, True)) for k in _EARLY if k in search]
-        if "CARD" in search:
+        if "MASKED" in patterns:
             parts.append(_as_hints(F.filter(F.transform(found["MASKED"], trimmed), masked), "CARD", True))
         return F.concat(*parts) if parts else F.array().cast(HINTS)
 
@@ -119,9 +127,9 @@ def hints_of(text: Column, kinds: tuple[str, ...] = tuple(KINDS)) -> Column:
     return let(line, lambda t: let(parts(t), lambda x: let(candidates(x), among)))
 
 
-def with_hints(spans: DataFrame, text: str = "text", out: str = "hints", kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
+def with_hints(spans: DataFrame, text: str = "text", out: str = "hints", kinds: tuple[str, ...] = tuple(KINDS), wording: dict[str, str] = _PATTERNS) -> DataFrame:
     """Adds :func:`hints_of` as one expression; no other column is added or lost."""
-    return spans.withColumn(out, hints_of(F.col(text), kinds))
+    return spans.withColumn(out, hints_of(F.col(text), kinds, wording))
 
 
 def promoted(hints: Column, previous: Column, line: Column) -> Column:
