@@ -694,3 +694,13 @@ def test_pairs_count_in_the_first_leaf_they_share(monkeypatch):
         i, j = np.triu_indices(60, 1)
         got = embeddings._share_earlier(keys, i, j, code)
         assert got.tolist() == [bool(set(before[order[a]]) & set(before[order[b]])) for a, b in zip(i, j)]
+
+
+def test_toxicity_holds_a_step_of_text_at_a_time():
+    crf = toxicity.Crf(np.array([5], np.uint64), np.zeros(1), np.zeros(1), -1.5, np.array([[0.3, -0.2], [0.1, 0.7]]), np.zeros(5), np.zeros(4), np.ones(4))
+    texts = pa.array(["plain words of a line. " * 40] * 8000)
+    tracemalloc.start()
+    scores = np.concatenate([toxicity.score_block(crf, block)[0] for _, _, block in blocks(texts, toxicity.STEP_BYTES)])
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert len(scores) == 8000 and peak < 120, peak

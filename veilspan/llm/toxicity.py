@@ -17,6 +17,8 @@ from .langid import letters
 
 #: Labelled training documents of each class, and bytes of their texts together.
 SAMPLE, SAMPLE_BYTES = 2500, 16 << 20
+#: Bytes of text whose tokens and hashes are held at once.
+STEP_BYTES = 1 << 20
 #: A feature counts from so many toxic training documents on (or two thirds of a hundredth of them, if more), and if its share among
 #: them is so many times that among the others; the most telling FEATURES are kept.
 LEAST, LIFT, FEATURES = 3, 20.0, 1024
@@ -252,7 +254,7 @@ def _features(toxic: list[str], plain: list[str]) -> np.ndarray:
 
 def _blocks(texts: list[str]):
     """(first document, its tokens) by blocks of a megabyte."""
-    for lo, _, block in blocks(pa.array(texts, pa.large_string()), 1 << 20):
+    for lo, _, block in blocks(pa.array(texts, pa.large_string()), STEP_BYTES):
         yield lo, tokenize(block)
 
 
@@ -347,7 +349,7 @@ def fit(samples: list[tuple[str, int]], rounds: int = 40) -> Crf | None:
             w += 0.3 * (m[x] / (1 - 0.9**r)) / (np.sqrt(v[x] / (1 - 0.99**r)) + 1e-8)
     crf.bias, crf._plain = float(theta["bias"][0]), (np.zeros(0),) * 3
     found = np.zeros((len(y), 4))
-    for lo, hi, block in blocks(pa.array(texts, pa.large_string()), 1 << 20):
+    for lo, hi, block in blocks(pa.array(texts, pa.large_string()), STEP_BYTES):
         t = tokenize(block)
         found[lo:hi] = document_features(marginals(crf, t), t, hi - lo)
     crf.mean, crf.sd = found.mean(axis=0), found.std(axis=0) + 1e-6
@@ -390,7 +392,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         crf = model.value
         for b in batches:
             score, spans = np.zeros(b.num_rows), [[] for _ in range(b.num_rows)]
-            for lo, hi, block in blocks(b.column(0).field(text_col)) if crf else ():
+            for lo, hi, block in blocks(b.column(0).field(text_col), STEP_BYTES) if crf else ():
                 score[lo:hi], t, p = score_block(crf, block)
                 hot = np.flatnonzero(p >= SPAN)
                 last = -2
